@@ -131,10 +131,13 @@ def oracle() -> dict[str, str]:
         "concepts_per_doc": "SELECT n.id AS doc_id, coalesce(string_agg(type || '~' || s || '~' || c.text, '|' ORDER BY s, e), '') AS found FROM notes n LEFT JOIN concepts c ON c.id = n.id GROUP BY n.id",
         "concept_counts": "SELECT type, count(*) AS n, count(DISTINCT id) AS n_docs FROM concepts GROUP BY type",
     }
+    ranked = f"SELECT *, CASE WHEN text IS NOT NULL AND record_id IS NOT NULL THEN row_number() OVER (PARTITION BY record_id, {newlines} ORDER BY written_at, file_id) ELSE 1 END AS rn FROM note_files"
     return {name: docs + sql for name, sql in body.items()} | {
         "file_record_ids": r"SELECT file_id, regexp_extract(file_name, '([^/]*)\.txt$', 1) AS stem FROM note_files",
         "newline_translation": f"SELECT file_id, length({newlines}) AS n, CASE WHEN text IS NOT NULL THEN len(string_split({newlines}, chr(10))) END AS n_lines FROM note_files",
         "file_order": "SELECT file_id, row_number() OVER (PARTITION BY ward ORDER BY try_cast(record_id AS DECIMAL(38, 0)), record_id, file_id) AS place FROM note_files",
         "file_concepts": files + "SELECT id AS file_id, type, text, s, e FROM concepts",
+        "p6_found": f"SELECT file_id FROM ({ranked}) WHERE rn > 1",
+        "p6_store": f"SELECT record_id, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM ({ranked}) WHERE rn = 1 GROUP BY record_id",
         "run_summary": "SELECT count(*) AS n_files, count(text) AS n_read FROM note_files",
     }

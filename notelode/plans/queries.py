@@ -11,6 +11,8 @@ from notelode.lexicon import DEFAULT
 from notelode.operators import arbitrate, assertions, lines, scan
 from notelode.patterns import build
 from notelode.plans import pipeline
+from notelode.operators.compaction import compact
+from notelode.session import shared_dir
 from notelode.sources.files import numeric_order, record_id, universal_newlines
 
 P = build(DEFAULT)
@@ -273,12 +275,25 @@ def run_summary(spark, d):
     return _files(spark, d).agg(F.count(F.lit(1)).alias("n_files"), F.count("text").alias("n_read"))
 
 
+def p6_found(spark, d):
+    """Files that compaction found to be stored already."""
+    return compact(_files(spark, d), shared_dir(spark)).dropped()
+
+
+def p6_store(spark, d):
+    """Every record version that the compacted store holds, by record: how many, and their characters."""
+    files = _files(spark, d)
+    rows = compact(files, shared_dir(spark)).read()
+    rows = files.limit(0) if rows is None else rows
+    return rows.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
 NAMES = (
     "line_split line_offsets blank_filter header_lines subheader_lines section_event section_state section_state_in_row "
     "top_section drug_scan dose_extension diagnosis_scan symptom_scan lab_pairs drug_codes diagnosis_codes "
     "overlap_antijoin assert_negated assert_family assert_historical symptom_proximity assertion_list concepts_union "
     "concepts_sorted concepts_per_doc concept_counts concepts_json file_record_ids newline_translation file_order "
-    "file_concepts run_summary"
+    "file_concepts run_summary p6_found p6_store"
 ).split()
 
 
