@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelode.llm import canonical, frequency, visual
+from notelode.llm import bpe, canonical, frequency, packing, visual
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -60,6 +60,27 @@ def p5_found(spark, d):
     return p5_values(spark, d).filter("mark IS NOT NULL").select("type", "text", "mark")
 
 
+def p7_ids(spark, d):
+    return bpe.token_ids(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def _packs(spark, d) -> list[tuple[str, int]]:
+    """The few container sizes."""
+    return [(r["pack_name"], r["capacity_tokens"]) for r in _table(spark, d, "pack_sizes").orderBy("pack_name").collect()]
+
+
+def p8_pack(spark, d):
+    """Containers of every capacity: which documents, or pieces of those that are too long, lie in them."""
+    sizes = bpe.token_counts(_table(spark, d, "documents"), "doc_id", "text")
+    placed = packing.pack(sizes, "doc_id", "n_tokens", _packs(spark, d))
+    return placed.withColumnsRenamed({"first": "first_token", "size": "n_tokens"})
+
+
+def p8_use(spark, d):
+    """Containers, and how full they are, by capacity."""
+    return packing.use(p8_pack(spark, d).withColumnRenamed("n_tokens", "size"), _packs(spark, d))
+
+
 _VALUES = """WITH v AS (SELECT type, trim(lower(nfc_normalize(text)), ' ') AS text, record_id FROM mentions WHERE type IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT type, text, count(*) AS n, count(DISTINCT record_id) AS n_records FROM v GROUP BY type, text),
 m AS (SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records * 20 > (SELECT count(DISTINCT record_id) FROM mentions) THEN 'common' END AS mark FROM c)
