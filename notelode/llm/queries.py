@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelode.llm import bpe, canonical, frequency, packing, visual
+from notelode.llm import bpe, canonical, frequency, packing, sentences, visual
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark, d):
+    return sentences.sentences(_table(spark, d, "documents"), "doc_id", "text")
+
+
 def p2_found(spark, d):
     pairs = visual.look_alike_pairs(_table(spark, d, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
