@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelode.llm import bpe, canonical, frequency, packing, sentences, visual
+from notelode.llm import bpe, canonical, frequency, packing, personal, sentences, visual
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,6 +56,15 @@ def p3_unmatched(spark, d):
     return _mapped(spark, d).filter("term IS NULL").groupBy("kind", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p4_found(spark, d):
+    return personal.personal_items(_table(spark, d, "documents"), "doc_id", "text")
+
+
+def p4_text(spark, d):
+    """The documents with typed placeholders."""
+    return personal.redacted(_table(spark, d, "documents"), "doc_id", "text")
+
+
 def p5_values(spark, d):
     return frequency.value_counts(_table(spark, d, "mentions"), "record_id", "type", "text")
 

@@ -16,6 +16,8 @@ def _shown(c: str) -> str:
         c = table[ord(c)] or ""
     if not c or "\u0300" <= c <= "\u036f":
         return ""
+    if c in "‐‑":
+        return "-"
     if c in "…℃" or unicodedata.category(c) == "No":
         return c
     return unicodedata.normalize("NFKC", c)

@@ -108,7 +108,8 @@ def blocks(s: str) -> Iterator[tuple[int, int, bool]]:
             marked = (_ITEM.match(line) or _is_heading(line)) and not runs_on
             own = marked or _is_heading(before) and not _NUMBERED.match(before) or item and _is_heading(before)
             # Items and lines of a form aren't wrapped.
-            form = not broken and word[:1].isupper() and re.match(r"[ \t]*[^\s:][^:.!?]{1,24}:[ \t]?\S", before)
+            label = r"[ \t]*(?:Dia chi|Lien he|Ho va ten|The BHYT|CCCD)" if broken else r"[ \t]*[^\s:][^:.!?]{1,24}:[ \t]?\S"
+            form = word[:1].isupper() and re.match(label, before)
             if own or item or not ended and (form or not wrapped):
                 yield start, lines[k - 1][0] + len(before), item
                 start = None
