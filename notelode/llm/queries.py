@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelode.llm import bpe, canonical, frequency, packing, personal, sentences, visual
+from notelode.llm import bpe, canonical, frequency, packing, personal, sentences, subjects, visual
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def p8_use(spark, d):
     return packing.use(p8_pack(spark, d).withColumnRenamed("n_tokens", "size"), _packs(spark, d))
 
 
+def p9_found(spark, d):
+    names = [r["subject"] for r in _table(spark, d, "subjects").select("subject").distinct().collect()]
+    return subjects.assign_subjects(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "subject_labels"), names)
+
+
 _VALUES = """WITH v AS (SELECT type, trim(lower(nfc_normalize(text)), ' ') AS text, record_id FROM mentions WHERE type IS NOT NULL AND text IS NOT NULL),
 c AS (SELECT type, text, count(*) AS n, count(DISTINCT record_id) AS n_records FROM v GROUP BY type, text),
 m AS (SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records * 20 > (SELECT count(DISTINCT record_id) FROM mentions) THEN 'common' END AS mark FROM c)
