@@ -43,7 +43,8 @@ def _suffixes(longest: int | None, whole: bool) -> Callable[[Iterator[pd.DataFra
             if len(held) > HELD:
                 yield frame(held)
                 held.clear()
-        yield frame(held)
+        if held:
+            yield frame(held)
 
     return run
 
@@ -84,7 +85,8 @@ def _stacked(shortest: int, whole: bool) -> Callable[[Iterator[pd.DataFrame]], I
                 out.clear()
         while stack:
             pop()
-        yield pd.DataFrame(out, columns=["ngram", "n", "records"])
+        if out:
+            yield pd.DataFrame(out, columns=["ngram", "n", "records"])
 
     return run
 
@@ -113,6 +115,8 @@ def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         terms = [[k, *form(t).split(" ")] for k, t in zip(b["kind"], b["text"], strict=True)]
+        if not terms:
+            continue
         yield pd.DataFrame({"record": b["record"], "terms": terms})
 
 

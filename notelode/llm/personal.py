@@ -66,6 +66,7 @@ _THING = re.compile(
 _GUARD = r"(?<![A-Za-z0-9_./@+-])"
 _END = r"(?![A-Za-z0-9_@]|[-./]\d)"
 _PHONES = [
+    r"\+8[16][ -]?(?:\(\d{2,4}\)|\d{2,4})[ -]?\d{4}[ -]?\d{4}",
     # Mobile and fixed numbers of the place the notes come from.
     r"(?:\(\+84\)|\+84)[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{3}",
     r"0\d{3}(?:[ .-]?\d{3}[ .-]?\d{3})",
@@ -170,7 +171,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     for p in _ADDRESSES:
         for m in p.finditer(t):
             take("address", m.start(), m.end())
-    digits = re.search(r"\d{3}", t) is not None
+    digits = re.search(r"\d{2}", t) is not None
     if digits:
         for k, p in enumerate(_ID):
             for m in p.finditer(t):
@@ -205,7 +206,8 @@ def redact(text: str | None) -> str | None:
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         made = [(k, *x) for k, t in zip(b["k"], b["t"], strict=True) if isinstance(t, str) and t for x in find(t)]
-        yield pd.DataFrame(made, columns=["k", "kind", "start_pos", "end_pos"])
+        if made:
+            yield pd.DataFrame(made, columns=["k", "kind", "start_pos", "end_pos"])
 
 
 def _redacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -304,7 +304,8 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(0, len(b), 1000):
             part = b.iloc[i : i + 1000]
             made = [(k, x, y) for k, t in zip(part["k"], part["t"], strict=True) if isinstance(t, str) for x, y in split(t)]
-            yield pd.DataFrame(made, columns=["k", "start_pos", "end_pos"])
+            if made:
+                yield pd.DataFrame(made, columns=["k", "start_pos", "end_pos"])
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
