@@ -1,8 +1,9 @@
 """Items packed into containers of fixed capacity, each partition's container count checked against a lower bound.
 
 Every partition packs its items by best fit decreasing. Dual feasible functions give a number of containers below
-which no packing can go; a partition that reaches it is done. Any other one closes its full containers and gives the
-items of the rest back; those of all partitions are dealt out anew and packed again, over fewer partitions each round.
+which no packing can go; a partition that reaches it is done, but for its emptiest container. Any other one closes its
+full containers and gives the items of the rest back; those of all partitions are dealt out anew and packed again,
+over fewer partitions each round.
 
 An item longer than the capacity is split into pieces of the capacity and a rest; no other is. An item of no length
 takes no room but a place. A null size counts as zero. Repeated ids are items of their own.
@@ -114,6 +115,8 @@ def _pack(last: bool, turn: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
             used = np.bincount(bins, weights=sizes).astype(np.int64)
             bound = lower_bound(sizes, c)
             closed = np.ones(len(used), dtype=bool) if last or len(used) <= bound else used >= c * (1 - SLACK)
+            # Even the fewest containers leave one that is far from full; what lies in it is exchanged as well.
+            closed[used.argmin()] = last or used.min() >= c * (1 - SLACK)
             names = np.array([f"{name}/{turn}/{part}/{k}" for k in range(len(used))])
             yield rows.assign(container=np.where(closed[bins], names[bins], None), bound=bound, bins=len(used), part=part)
 
