@@ -8,7 +8,7 @@ sentences of labelled documents. Then, over all documents, sentences go to the c
 centroids move to the mean of their sentences, and terms that are not typical of any area lose weight. A document is
 about an area that at least two of its sentences go to.
 
-What is gathered from the corpus has a fixed size, whatever the number of documents: columns x rank, columns x areas.
+What is gathered from the corpus has a bounded size, whatever the number of documents: columns x rank, columns x areas.
 Labels are used for the seeds only, of at most LABELLED documents. Null and blank documents have no area, nor have
 documents whose language has no labelled example of it; an empty label table gives no area at all.
 """
@@ -90,7 +90,8 @@ def _analysed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # A sentence that doesn't tell is in the language of most others that are written in Latin letters.
             votes = np.bincount([x for x in langs if 0 <= x < 4] or [0], minlength=4)
             rows.append((k, [x if x >= 0 else int(votes.argmax()) for x in langs], [terms(shown) for _, shown in parts]))
-        yield pd.DataFrame(rows, columns=["k", "langs", "terms"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["k", "langs", "terms"])
 
 
 def _summed(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -111,6 +112,7 @@ def _summed(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], dict[str, np.
         for b in batches:
             for x in b["made"]:
                 for name, a in pickle.loads(x).items():
+                    a = a.astype(np.int64) if a.dtype == np.int32 else a
                     out[name] = out[name] + a if name in out else a
         return out
 
@@ -138,18 +140,24 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.
             yield list(zip(part["k"], extra[i : i + CHUNK])), list(part["langs"]), list(part["terms"])
 
 
-def _document_terms(langs: np.ndarray, sentences: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _document_terms(langs: np.ndarray, sentences: np.ndarray, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Columns of each language of a document; with at, the places of those that have one."""
     for lang in set(np.asarray(langs).tolist()):
         found = [np.asarray(t, dtype=np.int64) for x, t in zip(langs, sentences) if x == lang and len(t)]
         if found:
-            yield lang, np.unique(np.concatenate(found))
+            cols = np.unique(np.concatenate(found))
+            if at is not None:
+                cols = at[cols]
+                cols = cols[cols >= 0]
+            if len(cols):
+                yield lang, cols
 
 
 class _Space:
     """Places of sentences, given the weights of terms and the basis."""
 
-    def __init__(self, weight: np.ndarray, typical: np.ndarray, basis: np.ndarray, scale: np.ndarray):
-        self.weight, self.basis, self.scale = (weight * typical).astype(np.float32), basis, scale
+    def __init__(self, weight: np.ndarray, typical: np.ndarray | float, basis: np.ndarray, scale: np.ndarray, at: np.ndarray):
+        self.weight, self.basis, self.scale, self.at = (weight * typical).astype(np.float32), basis, scale, at
 
     def place(self, langs: list, terms: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of every sentence of a chunk: document, language, unit vector, weight, share in the subspace."""
@@ -159,6 +167,8 @@ class _Space:
         sizes = np.array([len(t) for t in each], dtype=np.int64)
         flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in each]) if sizes.sum() else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(each)), sizes)
+        flat = self.at[flat]
+        owner, flat = owner[flat >= 0], flat[flat >= 0]
         w = self.weight[lang[owner], flat]
         on = w > 0
         owner, flat, w = owner[on], flat[on], w[on]
@@ -219,21 +229,26 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     has, total = c["has"], c["all"][:, None]
     least = np.maximum(LEAST, LEAST_PART * total)
     weight = np.where(has >= least, np.maximum(0.0, np.log((total + 1) / (has + 1)) - FLOOR), 0.0).astype(np.float32)
-    if not weight.any():
+    # Only columns that have a weight in some language are carried on.
+    active = np.flatnonzero(weight.any(0))
+    if not len(active):
         return empty
+    place_of = np.full(COLUMNS, -1, dtype=np.int32)
+    place_of[active] = np.arange(len(active), dtype=np.int32)
+    weight = np.ascontiguousarray(weight[:, active])
 
     # Leading right singular vectors of documents x terms, unit rows, by block power iteration.
     sc = spark.sparkContext
 
     def times(q: np.ndarray) -> np.ndarray:
-        shared = sc.broadcast((q.astype(np.float32), weight))
+        shared = sc.broadcast((q.astype(np.float32), weight, place_of))
 
         def run(batches):
-            basis, w = shared.value
+            basis, w, at = shared.value
             out = np.zeros(basis.shape, dtype=np.float64)
             for _, langs, terms_ in _documents(batches):
                 for x, ts in zip(langs, terms_):
-                    for lang, cols in _document_terms(x, ts):
+                    for lang, cols in _document_terms(x, ts, at):
                         v = w[lang, cols]
                         on = v > 0
                         if on.any():
@@ -241,9 +256,11 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                             out[cols] += v[:, None] * (v @ basis[cols])
             return {"q": out.astype(np.float32)}
 
-        return _summed(rows, run)["q"].astype(np.float64)
+        made = _summed(rows, run)["q"].astype(np.float64)
+        shared.destroy()
+        return made
 
-    q = np.linalg.qr(np.random.default_rng(0).standard_normal((COLUMNS, RANK)))[0]
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(active), min(RANK, len(active)))))[0]
     for _ in range(TURNS):
         q = np.linalg.qr(times(q))[0]
     small = q.T @ times(q)
@@ -254,12 +271,11 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     known = labels.select(F.col(key).alias("k"), "subject").filter(F.col("subject").isin(names))
     known = known.groupBy("k").agg(F.array_sort(F.collect_set("subject")).alias("areas"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(LABELLED)
-    typical = np.ones((nl, COLUMNS), dtype=np.float32)
-    shared = sc.broadcast((weight, basis, scale))
+    typical = np.ones((nl, len(active)), dtype=np.float32)
+    shared = sc.broadcast((weight, 1.0, basis, scale, place_of))
 
     def weigh(batches):
-        w, v, s = shared.value
-        space, out = _Space(w, 1.0, v, s), np.zeros((nl, _BINS), dtype=np.int64)
+        space, out = _Space(*shared.value), np.zeros((nl, _BINS), dtype=np.int64)
         for _, langs, terms_ in _documents(batches):
             _, lang, _, heavy, _ = space.place(langs, terms_)
             np.add.at(out, (lang, np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64)), 1)
@@ -270,8 +286,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     heavy_enough = HEAVY * at
 
     def seed(batches):
-        w, v, s = shared.value
-        space, out = _Space(w, 1.0, v, s), np.zeros((nl, na, RANK))
+        space, out = _Space(*shared.value), np.zeros((nl, na, len(scale)))
         for keys, langs, terms_ in _documents(batches):
             doc, lang, x, heavy, share = space.place(langs, terms_)
             for n in np.flatnonzero((heavy > heavy_enough[lang]) & (share > SHARE)):
@@ -281,33 +296,36 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         return {"sum": out}
 
     made = _summed(rows.join(F.broadcast(known), "k"), seed)
+    shared.destroy()
     if "sum" not in made or not made["sum"].any():
         return empty
     centroids = _unit(made["sum"])
 
     def state():
-        return sc.broadcast((weight, typical, basis, scale, centroids, heavy_enough))
+        return sc.broadcast(((weight, typical, basis, scale, place_of), centroids, heavy_enough))
 
     for _ in range(ROUNDS):
         now = state()
 
         def refine(batches, now=now):
-            w, t, v, s, c, e = now.value
-            space = _Space(w, t, v, s)
-            sums = np.zeros((nl, na, RANK))
-            seen, mine = np.zeros((nl, COLUMNS), dtype=np.int64), np.zeros((nl, na, COLUMNS), dtype=np.int64)
+            parts, c, e = now.value
+            space, at = _Space(*parts), parts[-1]
+            sums = np.zeros((nl, na, c.shape[-1]))
+            width = parts[0].shape[1]
+            seen, mine = np.zeros((nl, width), dtype=np.int32), np.zeros((nl, na, width), dtype=np.int32)
             for _, langs, terms_ in _documents(batches):
                 doc, lang, x, best = _assigned(space, c, e, langs, terms_)
                 np.add.at(sums, (lang, best), x)
                 about = _about(len(langs), na, doc, best)
                 for i in np.flatnonzero(about.any(1)):
-                    for k, cols in _document_terms(langs[i], terms_[i]):
+                    for k, cols in _document_terms(langs[i], terms_[i], at):
                         seen[k, cols] += 1
                         for a in np.flatnonzero(about[i]):
                             mine[k, a, cols] += 1
             return {"sum": sums, "seen": seen, "mine": mine}
 
         r = _summed(rows, refine)
+        now.destroy()
         moved = np.linalg.norm(r["sum"], axis=-1, keepdims=True) > 0
         centroids = np.where(moved, _unit(r["sum"]), centroids)
         # A term of which most documents are about one area is typical; one that is everywhere alike is not.
@@ -316,11 +334,12 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     final = state()
 
     def found(batches):
-        w, t, v, s, c, e = final.value
-        space = _Space(w, t, v, s)
+        parts, c, e = final.value
+        space = _Space(*parts)
         for keys, langs, terms_ in _documents(batches):
             doc, _, _, best = _assigned(space, c, e, langs, terms_)
             i, a = np.nonzero(_about(len(langs), na, doc, best))
-            yield pd.DataFrame({key: [keys[x][0] for x in i], "subject": [names[x] for x in a]})
+            if len(i):
+                yield pd.DataFrame({key: [keys[x][0] for x in i], "subject": [names[x] for x in a]})
 
     return rows.mapInPandas(found, f"{key} {kind}, subject string")
