@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelode.llm.forms import bare, plain
-from notelode.session import spread
+from notelode.session import cores
 
 PART = 50_000
 #: Characters of a form that deletes are taken from, and the most edits.
@@ -247,7 +247,8 @@ def map_to_reference(
         return mapped
 
     schema = f"key {dict(src.dtypes)['key']}, kind string, text string, term string, distance double"
-    src = spread(src)
+    # Matching costs far more than moving a short row: as many tasks as there are slots, however little data.
+    src = src.repartition(cores(rows.sparkSession))
     done = [src.mapInPandas(run(part), schema) for part in parts or [{}]]
     if len(done) == 1:
         return done[0].withColumnRenamed("key", key)
