@@ -48,7 +48,10 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Deal rows out evenly if the scan would leave task slots idle.
 
     Row groups end up in as many tasks as there are splits; CPU-heavy narrow operators want one task per slot at
-    least. An input with enough splits is left alone, so no shuffle is added where the data are large.
+    least. An input with enough splits is left alone, so no shuffle is added where the data are large, and so is one
+    that was shuffled before: asking it for its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
