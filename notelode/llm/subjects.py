@@ -94,8 +94,8 @@ def _analysed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["k", "langs", "terms"])
 
 
-def _summed(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Sum of what each task makes, in two steps, so that no more than one result reaches the driver."""
+def _summed(df: DataFrame, n: int, run: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sum of what each of about n tasks makes, in two steps, so that no more than one result reaches the driver."""
 
     def pack(made: dict[str, np.ndarray]) -> pd.DataFrame:
         import pickle
@@ -124,7 +124,6 @@ def _summed(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], dict[str, np.
             yield pack(made)
 
     parts = df.mapInPandas(first, "at int, made binary")
-    n = df.rdd.getNumPartitions()
     if n > 16:
         parts = parts.repartition(max(2, round(n**0.5)), "at").mapInPandas(more, "at int, made binary")
     one = parts.repartition(1).mapInPandas(more, "at int, made binary").collect()
@@ -212,7 +211,9 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     if not names:
         return empty
     src = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    rows = spread(cut(src.mapInPandas(_analysed, f"k {kind}, langs array<int>, terms array<array<int>>")))
+    kept = cut(src.mapInPandas(_analysed, f"k {kind}, langs array<int>, terms array<array<int>>"))
+    tasks = max(kept.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    rows = spread(kept)
     nl, na = len(LANGUAGES), len(names)
 
     # Documents by language and term.
@@ -225,7 +226,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                     all_[lang] += 1
         return {"has": has, "all": all_}
 
-    c = _summed(rows, count)
+    c = _summed(rows, tasks, count)
     has, total = c["has"], c["all"][:, None]
     least = np.maximum(LEAST, LEAST_PART * total)
     weight = np.where(has >= least, np.maximum(0.0, np.log((total + 1) / (has + 1)) - FLOOR), 0.0).astype(np.float32)
@@ -256,7 +257,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                             out[cols] += v[:, None] * (v @ basis[cols])
             return {"q": out.astype(np.float32)}
 
-        made = _summed(rows, run)["q"].astype(np.float64)
+        made = _summed(rows, tasks, run)["q"].astype(np.float64)
         shared.destroy()
         return made
 
@@ -281,7 +282,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
             np.add.at(out, (lang, np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64)), 1)
         return {"bins": out}
 
-    bins = _summed(rows, weigh)["bins"]
+    bins = _summed(rows, tasks, weigh)["bins"]
     at = np.array([np.searchsorted(np.cumsum(b), 0.7 * b.sum()) for b in bins]) * _STEP
     heavy_enough = HEAVY * at
 
@@ -295,7 +296,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                     out[lang[n], names.index(a)] += x[n] / len(areas)
         return {"sum": out}
 
-    made = _summed(rows.join(F.broadcast(known), "k"), seed)
+    made = _summed(rows.join(F.broadcast(known), "k"), tasks, seed)
     shared.destroy()
     if "sum" not in made or not made["sum"].any():
         return empty
@@ -324,7 +325,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                             mine[k, a, cols] += 1
             return {"sum": sums, "seen": seen, "mine": mine}
 
-        r = _summed(rows, refine)
+        r = _summed(rows, tasks, refine)
         now.destroy()
         moved = np.linalg.norm(r["sum"], axis=-1, keepdims=True) > 0
         centroids = np.where(moved, _unit(r["sum"]), centroids)
