@@ -66,24 +66,32 @@ def marked_parts(line: Column, pattern: str, groups: int) -> Column:
     return F.split(F.regexp_replace(safe, pattern, shown), MARK, -1)
 
 
+SPANS = "array<struct<s:int,e:int,groups:array<string>,ends:array<int>>>"
+
+
 def spans(parts: Column, groups: int) -> Column:
     """array<struct<s, e, groups, ends>> of all matches: place, texts of the groups, and the n + 1 places that bound them."""
     period = groups + 1
-    # Starting places of all parts by a running sum of lengths.
-    begun = F.aggregate(
-        parts,
-        F.array(F.lit(0)).cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
-    )
-    return let(
-        F.struct(parts.alias("p"), begun.alias("b")),
-        lambda v: F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(v["p"]) - 1), lambda i: i % period == 1),
-            lambda i: F.struct(
-                F.get(v["b"], i).alias("s"),
-                F.get(v["b"], i + groups).alias("e"),
-                F.slice(v["p"], i + 1, groups).alias("groups"),
-                F.slice(v["b"], i + 1, groups + 1).alias("ends"),
+
+    def found(parts: Column) -> Column:
+        # Starting places of all parts by a running sum of lengths.
+        begun = F.aggregate(
+            parts,
+            F.array(F.lit(0)).cast("array<int>"),
+            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
+        )
+        return let(
+            begun,
+            lambda b: F.transform(
+                F.sequence(F.lit(1), F.size(parts) - 1, F.lit(period)),
+                lambda i: F.struct(
+                    F.get(b, i).alias("s"),
+                    F.get(b, i + groups).alias("e"),
+                    F.slice(parts, i + 1, groups).alias("groups"),
+                    F.slice(b, i + 1, groups + 1).alias("ends"),
+                ),
             ),
-        ),
-    )
+        ).cast(SPANS)
+
+    # Most lines have no match; they end here.
+    return let(parts, lambda p: F.when(F.size(p) > 1, found(p)).otherwise(F.array().cast(SPANS)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notelode.functions.text import marked_parts, spans, strip
+from notelode.functions.text import SPANS, marked_parts, spans, strip
 from notelode.patterns import Patterns
 
 
@@ -33,7 +33,7 @@ def lab_matches(line: Column, p: Patterns) -> Column:
     """
     # Most lines have no link before a number; the scan, which tries up to forty lengths of name at a place, skips them.
     found = F.when(line.rlike(p.lab_hint), spans(marked_parts(line, p.lab, 3), 3))
-    found = F.coalesce(found, F.array().cast("array<struct<s:int,e:int,groups:array<string>,ends:array<int>>>"))
+    found = F.coalesce(found, F.array().cast(SPANS))
     return F.filter(found, lambda m: F.lower(strip(m["groups"][0])).rlike(p.lab_names))
 
 

@@ -91,7 +91,12 @@ def line_concepts(row: Column, p: Patterns, lexicon: Lexicon) -> Column:
             F.transform(m["symptoms"], symptom),
         )
 
-    return let(F.struct(F.lower(line).alias("low"), line_spans(line, p).alias("m")), made)
+    def any_made(m: Column) -> Column:
+        n = F.size(m["drugs"]) + F.size(m["diagnoses"]) + F.size(m["labs"]) + F.size(m["symptoms"])
+        full = let(F.struct(F.lower(line).alias("low"), m.alias("m")), made)
+        return F.when(n > 0, full).otherwise(F.array().cast(f"array<{CONCEPT}>"))
+
+    return let(line_spans(line, p), any_made)
 
 
 def concepts(text: Column, lexicon: Lexicon = DEFAULT) -> Column:

@@ -12,7 +12,7 @@ from notelode.operators import arbitrate, assertions, lines, scan
 from notelode.patterns import build
 from notelode.plans import pipeline
 from notelode.operators.compaction import compact
-from notelode.session import shared_dir
+from notelode.session import shared_dir, spread
 from notelode.sources.files import numeric_order, record_id, universal_newlines
 
 P = build(DEFAULT)
@@ -43,7 +43,7 @@ TEMPLATES = (
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """doc_id and text: a template by id, then the whole document."""
     at = F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % len(TEMPLATES)).cast("int"))
-    return spark.read.parquet(f"{d}/documents.parquet").select(
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select(
         "doc_id", F.concat(at, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")
     )
 
@@ -265,7 +265,7 @@ def file_order(spark, d):
 
 def file_concepts(spark, d):
     """Concepts of the note files, as read in text mode."""
-    files = _files(spark, d).select("file_id", universal_newlines(F.col("text")).alias("text"))
+    files = spread(_files(spark, d).select("file_id", "text")).select("file_id", universal_newlines(F.col("text")).alias("text"))
     return pipeline.concept_rows(files, ["file_id"]).select(
         "file_id", "type", "text", F.col("position")[0].alias("s"), F.col("position")[1].alias("e")
     )

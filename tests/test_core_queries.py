@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from notelode.plans.oracle import oracle
+from notelode.plans.pipeline import concept_rows
 from notelode.plans.queries import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -36,6 +37,7 @@ def test_every_query_has_sql_but_json():
     assert set(queries()) - set(oracle()) <= {"concepts_json"}
 
 
-def test_flagship_plan_has_no_shuffle(spark):
-    plan = queries()["concepts_union"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+def test_extraction_plan_has_no_shuffle(spark):
+    df = concept_rows(spark.read.parquet(f"{DATA}/documents.parquet"), ["doc_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
