@@ -38,7 +38,13 @@ _DOT = re.compile(r"[ \n]?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]|\(\.\)|\(cham\)|\[ch
 
 def uncover(s: str, places: list[int]) -> tuple[str, list[tuple[int, int]]]:
     """The second transducer: text with plain digits and signs, and the source span of each of its characters."""
-    edits = [(m.start(), m.end(), "".join(_DIGITS[w.lower()] for w in _ONE.findall(m[0]))) for m in _SPELLED.finditer(s)]
+    edits = []
+    for m in _SPELLED.finditer(s):
+        words = list(_ONE.finditer(m[0]))
+        # The word for zero is also "not", which may open what follows a number of ten digits.
+        if len(words) == 11 and words[-1][0].lower() == "khong":
+            words.pop()
+        edits.append((m.start(), m.start() + words[-1].end(), "".join(_DIGITS[w[0].lower()] for w in words)))
     edits += [(m.start(), m.end(), "@") for m in _AT.finditer(s)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(s)]
     out, spans, at = [], [], 0
     for b, e, new in sorted(edits):

@@ -9,6 +9,7 @@ CASES = [
     ("Zalo +84 549 310 256 không ai nghe?", [("phone", "+84 549 310 256")]),
     ("Số cũ (0240) 3914.893, số mới 0954.311.065.", [("phone", "(0240) 3914.893"), ("phone", "0954.311.065")]),
     ("máy không năm bốn ba năm bảy không sáu hai không.", [("phone", "không năm bốn ba năm bảy không sáu hai không")]),
+    ("Zalo không chín năm bảy một tám ba tám tám bảy không ai nghe?", [("phone", "không chín năm bảy một tám ba tám tám bảy")]),
     ("called from 555 555 0137 ext. 4 at 8:28.", [("phone", "555 555 0137 ext. 4")]),
     ("Frau Edelgard von Krötzinger ist unter +49 (0)30 23125-033 erreichbar.", [("name", "Edelgard von Krötzinger"), ("phone", "+49 (0)30 23125-033")]),
     ("Mme Aubine Courtavel est joignable au 01.99.00.01.21.", [("name", "Aubine Courtavel"), ("phone", "01.99.00.01.21")]),
