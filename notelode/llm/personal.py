@@ -12,7 +12,7 @@ A null text has no item and stays null.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,7 +36,7 @@ _AT = re.compile(r"(?<=[A-Za-z0-9])[ \n]?(?:\[at\]|\(at\)|\{at\}|\(a\)|\[a\]|\[@
 _DOT = re.compile(r"[ \n]?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]|\(\.\)|\(cham\)|\[cham\])[ \n]?", re.I)
 
 
-def uncover(s: str, places: list[int]) -> tuple[str, list[tuple[int, int]]]:
+def uncover(s: str, places: Sequence[int]) -> tuple[str, list[tuple[int, int]]]:
     """The second transducer: text with plain digits and signs, and the source span of each of its characters."""
     edits = []
     for m in _SPELLED.finditer(s):
@@ -152,6 +152,11 @@ _ADDRESSES = [
         r"\d+(?:/\d+)? หมู่ \d+ ต(?:ำ|ํา)บล[฀-๿]+|\d+(?:/\d+)? ถนน[฀-๿]+ เมือง[฀-๿]+",
     )
 ]
+#: Words without which none of the addresses can be there.
+_PLACES = re.compile(
+    r"ngo|hem|ngach|kiet|duong|pho |chung cu|khu pho|, xa |, (?:Q|P|TP)\.|quan |huyen|Close|Row|Lane|Street|Road|Avenue|Court|Hill|Way|House|Tower|Mansions|"
+    r"stieg|weg|gasse|platz|allee|stra|str\.|rue|av\.|avenue|bd |boulevard|chemin|place|号|住所|หมู่|ถนน"
+)
 _TABLE = re.compile(r"[A-Za-z] - $")
 
 
@@ -172,11 +177,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
             free[b:e] = b"\1" * (e - b)
             found.append((b, e, kind))
 
-    for m in _EMAIL.finditer(t):
-        take("email", m.start(), m.end())
-    for p in _ADDRESSES:
-        for m in p.finditer(t):
-            take("address", m.start(), m.end())
+    if "@" in t:
+        for m in _EMAIL.finditer(t):
+            take("email", m.start(), m.end())
+    if _PLACES.search(t):
+        for p in _ADDRESSES:
+            for m in p.finditer(t):
+                take("address", m.start(), m.end())
     digits = re.search(r"\d{2}", t) is not None
     if digits:
         for k, p in enumerate(_ID):

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 from notelode.llm.forms import plain_table
 
-_KNOWN: dict[str, str] = {}
-
-
 def _shown(c: str) -> str:
     """What a character reads as: invisible ones and marks as nothing, look-alikes and shapes as plain letters."""
     table = plain_table()
@@ -31,19 +29,28 @@ def _bared(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f")
 
 
-def read(text: str) -> tuple[str, list[int]]:
+class _Table(dict):
+    """For str.translate: what each character reads as, found out when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = x = c if c in "\n\t" else "".join(map(_bared, _shown(c)))
+        return x
+
+
+_TABLE = _Table()
+
+
+def read(text: str) -> tuple[str, Sequence[int]]:
     """The text as read, Latin letters without marks, and the place in text of each of its characters."""
-    out: list[str] = []
+    shown = text.translate(_TABLE)
+    if all(len(_TABLE[ord(c)]) == 1 for c in set(text)):
+        return shown, range(len(text))
     places: list[int] = []
-    known = _KNOWN
     for i, c in enumerate(text):
-        x = known.get(c)
-        if x is None:
-            x = known[c] = "".join(map(_bared, _shown(c))) if c not in "\n\t" else c
-        if len(x) == 1:
-            out.append(x)
+        n = len(_TABLE[ord(c)])
+        if n == 1:
             places.append(i)
-        elif x:
-            out.append(x)
-            places += [i] * len(x)
-    return "".join(out), places
+        elif n:
+            places += [i] * n
+    return shown, places

@@ -11,7 +11,7 @@ A null or blank text has no sentence. Every character that isn't blank is in exa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -245,6 +245,11 @@ def _span(s: str, b: int, e: int) -> float:
 
 def split(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, in code points, half-open."""
+    return [(b, e) for b, e, _ in split_shown(text)]
+
+
+def split_shown(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, sentence as read) of the sentences of a text."""
     s, places = read(text)
     out: list[tuple[int, int]] = []
     parts = list(blocks(s))
@@ -281,10 +286,10 @@ def split(text: str) -> list[tuple[int, int]]:
                 e -= 1
             if b < e:
                 out.append((b, e))
-    return _located(text, places, out)
+    return [(b, e, s[x:y]) for (b, e), (x, y) in zip(_located(text, places, out), out, strict=True)]
 
 
-def _located(text: str, places: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _located(text: str, places: Sequence[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of the text as read, brought back; characters that read as nothing go with what stands before them."""
     out = []
     for k, (b, e) in enumerate(spans):
