@@ -109,7 +109,7 @@ def blocks(s: str) -> Iterator[tuple[int, int, bool]]:
             own = marked or _is_heading(before) and not _NUMBERED.match(before) or item and _is_heading(before)
             # Items and lines of a form aren't wrapped.
             label = r"[ \t]*(?:Dia chi|Lien he|Ho va ten|The BHYT|CCCD)" if broken else r"[ \t]*[^\s:][^:.!?]{1,24}:[ \t]?\S"
-            form = word[:1].isupper() and re.match(label, before)
+            form = word[:1].isupper() and re.match(rf"{label}|[ \t]*[A-Z]\w+(?: [A-Z]\w+){{1,3}} - ", before)
             if own or item or not ended and (form or not wrapped):
                 yield start, lines[k - 1][0] + len(before), item
                 start = None
@@ -227,18 +227,23 @@ def _boundary(s: str, m: re.Match, careless: bool, begin: int) -> float:
 _UNFINISHED = re.compile(r"(?:^| )(?:(?:ตามบันทึก|จากการส่งเวร)?วันที่ |ผู้ป่วยชื่อ)\S+$")
 
 
-def _span(s: str, b: int, e: int) -> float:
+_QUOTED, _THAI = re.compile('[“„«「『”»」』"]'), re.compile("[฀-๿]")
+
+
+def _span(s: str, b: int, e: int, quoted: bool, thai: bool) -> float:
     """Score of a span for itself: length, quotations, completeness."""
     part = s[b:e].strip()
     n = len(part)
     score = -0.5 if n < 4 else -max(0.0, (n - 220) / 40)
+    if not quoted and not thai:
+        return score
     level = 0
     for c, x in ((c, _QUOTES[c]) for c in part if c in _QUOTES):
         # A mark like “ closes where „ has opened.
         level += -1 if c == "“" and level > 0 and "„" in part else x
     if level or part.count('"') % 2:
         score -= 5.0
-    if _UNFINISHED.search(part):
+    if thai and _UNFINISHED.search(part):
         score -= 6.0
     return score
 
@@ -267,10 +272,11 @@ def split_shown(text: str) -> list[tuple[int, int, str]]:
         # best[j]: best score of a cut of everything before candidate j; a cut's own score counts once.
         ends = [(begin, 0.0), *cuts, (end, 0.0)]
         best, came = [0.0], [0]
+        quoted, thai = _QUOTED.search(s, begin, end) is not None, _THAI.search(s, begin, end) is not None
         for j in range(1, len(ends)):
             top, arg = -1e18, 0
             for i in range(j - 1, max(-1, j - 13), -1):
-                x = best[i] + _span(s, ends[i][0], ends[j][0])
+                x = best[i] + _span(s, ends[i][0], ends[j][0], quoted, thai)
                 if x > top:
                     top, arg = x, i
             best.append(top + ends[j][1])
