@@ -20,12 +20,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.reading import read
-from notelode.llm.sentences import split
+from notelode.llm.sentences import split_shown
 from notelode.session import cut, spread
 
 COLUMNS, RANK, TURNS, ROUNDS = 1 << 14, 160, 3, 3
@@ -49,107 +48,148 @@ _SMALL = {
     3: set("faut il croire le la les rien de mme des une est avec aussi et sur pour depuis avant voir selon".split()),
 }
 _VIETNAMESE = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịĩọỏõốồổỗộớờởỡợụủũứừửữựỳỵỷỹ]", re.I)
+_WORDS = re.compile("[a-z]+")
 _BINS, _STEP = 1000, 0.05
 
 
 def language(shown: str, text: str) -> int:
     """Number of a sentence's language, -1 if it doesn't tell."""
-    if re.search("[฀-๿]", shown):
-        return 6
-    if re.search("[ぁ-ヿ]", shown):
-        return 5
-    if re.search("[一-鿿]", shown):
-        return 4
+    if not shown.isascii():
+        if re.search("[฀-๿]", shown):
+            return 6
+        if re.search("[ぁ-ヿ]", shown):
+            return 5
+        if re.search("[一-鿿]", shown):
+            return 4
     if _VIETNAMESE.search(text):
         return 0
-    words = re.findall("[a-z]+", shown.lower())
-    found = [sum(w in _SMALL[k] for w in words) for k in range(4)]
-    return int(np.argmax(found)) if any(found) else -1
+    words = set(_WORDS.findall(shown.lower()))
+    found = [len(words & _SMALL[k]) for k in range(4)]
+    return found.index(max(found)) if any(found) else -1
+
+
+class _Numbers(dict):
+    """A number for each string, worked out when it is first met; starts over when it holds too many."""
+
+    def __missing__(self, x: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        n = self[x] = zlib.crc32(x.encode())
+        return n
+
+
+_NUMBER = _Numbers()
+_WORD, _THAI, _HAN = re.compile("[a-z]{2,}"), re.compile("[฀-๿]{4,}"), re.compile("[぀-鿿]{2,}")
 
 
 def terms(shown: str) -> list[int]:
-    """Columns of a sentence's terms."""
+    """Columns of a sentence's terms: words and pairs of words, runs of four Thai or two Chinese or Japanese letters."""
     s = shown.lower()
-    words = [w for w in re.findall("[a-z]+", s) if len(w) > 1]
-    out = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-    for run in re.findall("[฀-๿]+", s):
-        out += [run[i : i + 4] for i in range(len(run) - 3)]
-    for run in re.findall("[぀-鿿]+", s):
-        out += [run[i : i + 2] for i in range(len(run) - 1)]
-    return sorted({zlib.crc32(x.encode()) % COLUMNS for x in out})
+    words = [_NUMBER[w] for w in _WORD.findall(s)]
+    out = {w % COLUMNS for w in words}
+    out.update([(a * 31 + b) % COLUMNS for a, b in zip(words, words[1:])])
+    for run in _THAI.findall(s):
+        out.update([_NUMBER[run[i : i + 4]] % COLUMNS for i in range(len(run) - 3)])
+    for run in _HAN.findall(s):
+        out.update([_NUMBER[run[i : i + 2]] % COLUMNS for i in range(len(run) - 1)])
+    return sorted(out)
 
 
-def _analysed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nested(counts: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for k, t in zip(b["k"], b["t"], strict=True):
-            if not isinstance(t, str) or not t.strip():
-                continue
-            parts = [(t[x:y], read(t[x:y])[0]) for x, y in split(t)]
-            langs = [language(shown, text) for text, shown in parts]
-            # A sentence that doesn't tell is in the language of most others that are written in Latin letters.
-            votes = np.bincount([x for x in langs if 0 <= x < 4] or [0], minlength=4)
-            rows.append((k, [x if x >= 0 else int(votes.argmax()) for x in langs], [terms(shown) for _, shown in parts]))
-        if rows:
-            yield pd.DataFrame(rows, columns=["k", "langs", "terms"])
-
-
-def _summed(df: DataFrame, n: int, run: Callable[[Iterator[pd.DataFrame]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        for i in range(0, b.num_rows, 1000):
+            part = b.slice(i, 1000)
+            sentences, langs, sizes, columns = [], [], [], []
+            for t in part.column(1).to_pylist():
+                parts = split_shown(t) if t else []
+                own = [language(shown, t[x:y]) for x, y, shown in parts]
+                # A sentence that doesn't tell is in the language of most others that are written in Latin letters.
+                votes = np.bincount([x for x in own if 0 <= x < 4] or [0], minlength=4)
+                langs += [x if x >= 0 else int(votes.argmax()) for x in own]
+                sentences.append(len(parts))
+                for _, _, shown in parts:
+                    found = terms(shown)
+                    sizes.append(len(found))
+                    columns += found
+            made = _nested(sentences, _nested(sizes, pa.array(columns, pa.int32())))
+            yield pa.RecordBatch.from_arrays([part.column(0), _nested(sentences, pa.array(langs, pa.int32())), made], ["k", "langs", "terms"])
+
+
+Arrays = dict[str, np.ndarray]
+
+
+def _summed(df: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Arrays]) -> Arrays:
     """Sum of what each of about n tasks makes, in two steps, so that no more than one result reaches the driver."""
 
-    def pack(made: dict[str, np.ndarray]) -> pd.DataFrame:
+    def pack(made: Arrays) -> pa.RecordBatch:
         import pickle
 
         from pyspark import TaskContext
 
         # The same for every attempt of a task, so that one that is run again sends its part the same way.
-        return pd.DataFrame({"at": [TaskContext.get().partitionId()], "made": [pickle.dumps(made)]})
+        at = TaskContext.get().partitionId()
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["at", "made"])
 
-    def total(batches: Iterator[pd.DataFrame]) -> dict[str, np.ndarray]:
+    def total(packed: Iterator[bytes]) -> Arrays:
         import pickle
 
-        out: dict[str, np.ndarray] = {}
-        for b in batches:
-            for x in b["made"]:
-                for name, a in pickle.loads(x).items():
-                    a = a.astype(np.int64) if a.dtype == np.int32 else a
-                    out[name] = out[name] + a if name in out else a
+        out: Arrays = {}
+        for x in packed:
+            for name, a in pickle.loads(x).items():
+                a = a.astype(np.int64) if a.dtype == np.int32 else a
+                out[name] = out[name] + a if name in out else a
         return out
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(run(batches))
 
-    def more(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if made := total(batches):
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if made := total(x for b in batches for x in b.column(1).to_pylist()):
             yield pack(made)
 
-    parts = df.mapInPandas(first, "at int, made binary")
+    parts = df.mapInArrow(first, "at int, made binary")
     if n > 16:
-        parts = parts.repartition(max(2, round(n**0.5)), "at").mapInPandas(more, "at int, made binary")
-    one = parts.repartition(1).mapInPandas(more, "at int, made binary").collect()
-    return total(iter([pd.DataFrame({"made": [r["made"] for r in one]})]))
-
-
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray], list[np.ndarray]]]:
-    """Chunks of documents: keys (with areas if there), languages, and terms by sentence."""
+        parts = parts.repartition(max(2, round(n**0.5)), "at").mapInArrow(more, "at int, made binary")
+    one = parts.repartition(1).mapInArrow(more, "at int, made binary").collect()
+    return total(bytes(r["made"]) for r in one)
+
+
+class _Chunk:
+    """Some documents: flat arrays of their sentences' documents and languages, and of their terms' sentences and columns."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.n = batch, batch.num_rows
+        langs, terms_ = batch.column("langs"), batch.column("terms")
+        counts = np.diff(langs.offsets.to_numpy())
+        self.doc = np.repeat(np.arange(self.n), counts)
+        self.lang = langs.flatten().to_numpy().astype(np.int64)
+        each = terms_.flatten()
+        self.owner = np.repeat(np.arange(len(each)), np.diff(each.offsets.to_numpy()))
+        self.column = each.flatten().to_numpy().astype(np.int64)
+
+    def distinct(self, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, language, column) of each distinct one, in that order; with at, places of columns that have one."""
+        column = self.column if at is None else at[self.column].astype(np.int64)
+        on = column >= 0
+        row = self.doc[self.owner[on]] * len(LANGUAGES) + self.lang[self.owner[on]]
+        code = np.unique(row * COLUMNS + column[on])
+        row = code // COLUMNS
+        return row // len(LANGUAGES), row % len(LANGUAGES), code % COLUMNS
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
     for b in batches:
-        extra = b["areas"] if "areas" in b else [None] * len(b)
-        for i in range(0, len(b), CHUNK):
-            part = b.iloc[i : i + CHUNK]
-            yield list(zip(part["k"], extra[i : i + CHUNK])), list(part["langs"]), list(part["terms"])
+        for i in range(0, b.num_rows, CHUNK):
+            yield _Chunk(b.slice(i, CHUNK))
 
 
-def _document_terms(langs: np.ndarray, sentences: np.ndarray, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """Columns of each language of a document; with at, the places of those that have one."""
-    for lang in set(np.asarray(langs).tolist()):
-        found = [np.asarray(t, dtype=np.int64) for x, t in zip(langs, sentences) if x == lang and len(t)]
-        if found:
-            cols = np.unique(np.concatenate(found))
-            if at is not None:
-                cols = at[cols]
-                cols = cols[cols >= 0]
-            if len(cols):
-                yield lang, cols
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
 
 
 class _Space:
@@ -158,41 +198,36 @@ class _Space:
     def __init__(self, weight: np.ndarray, typical: np.ndarray | float, basis: np.ndarray, scale: np.ndarray, at: np.ndarray):
         self.weight, self.basis, self.scale, self.at = (weight * typical).astype(np.float32), basis, scale, at
 
-    def place(self, langs: list, terms: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of every sentence of a chunk: document, language, unit vector, weight, share in the subspace."""
-        doc = np.repeat(np.arange(len(langs)), [len(x) for x in langs])
-        lang = np.concatenate([np.asarray(x, dtype=np.int64) for x in langs]) if len(doc) else np.zeros(0, np.int64)
-        each = [t for ts in terms for t in ts]
-        sizes = np.array([len(t) for t in each], dtype=np.int64)
-        flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in each]) if sizes.sum() else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(each)), sizes)
-        flat = self.at[flat]
-        owner, flat = owner[flat >= 0], flat[flat >= 0]
-        w = self.weight[lang[owner], flat]
+    def place(self, c: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every sentence of a chunk: unit vector, weight, share in the subspace."""
+        column = self.at[c.column]
+        w = np.where(column >= 0, self.weight[c.lang[c.owner], column], 0)
         on = w > 0
-        owner, flat, w = owner[on], flat[on], w[on]
-        out = np.zeros((len(each), self.basis.shape[1]), dtype=np.float32)
+        owner, column, w = c.owner[on], column[on], w[on]
+        out = np.zeros((len(c.lang), self.basis.shape[1]), dtype=np.float32)
         if len(w):
-            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            out[owner[heads]] = np.add.reduceat(w[:, None] * self.basis[flat], heads, axis=0)
-        heavy = np.sqrt(np.bincount(owner, weights=w.astype(np.float64) ** 2, minlength=len(each)))
+            heads = _heads(owner)
+            out[owner[heads]] = np.add.reduceat(w[:, None] * self.basis[column], heads, axis=0)
+        heavy = np.sqrt(np.bincount(owner, weights=w.astype(np.float64) ** 2, minlength=len(c.lang)))
         share = np.linalg.norm(out, axis=1) / np.maximum(heavy, 1e-9)
         out *= self.scale
         out /= np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
-        return doc, lang, out, heavy, share
+        return out, heavy, share
 
 
 def _unit(c: np.ndarray) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=-1, keepdims=True), 1e-9)
 
 
-def _assigned(space: _Space, centroids: np.ndarray, least: np.ndarray, langs: list, terms: list):
+def _assigned(space: _Space, centroids: np.ndarray, least: np.ndarray, c: _Chunk):
     """Sentences that go to an area: document, language, vector, area."""
-    doc, lang, v, heavy, share = space.place(langs, terms)
-    on = np.flatnonzero((heavy > least[lang]) & (share > SHARE))
-    doc, lang, v = doc[on], lang[on], v[on]
-    score = np.einsum("nk,nak->na", v, centroids[lang]) if len(on) else np.zeros((0, centroids.shape[1]))
-    best = score.argmax(1) if len(on) else np.zeros(0, dtype=np.int64)
+    v, heavy, share = space.place(c)
+    on = np.flatnonzero((heavy > least[c.lang]) & (share > SHARE))
+    doc, lang, v = c.doc[on], c.lang[on], v[on]
+    score = np.full((len(on), centroids.shape[1]), -1.0, dtype=np.float32)
+    for k in np.unique(lang):
+        score[lang == k] = v[lang == k] @ centroids[k].T.astype(np.float32)
+    best = score.argmax(1)
     ok = score[np.arange(len(best)), best] > COSINE
     return doc[ok], lang[ok], v[ok], best[ok]
 
@@ -211,20 +246,20 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     if not names:
         return empty
     src = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    kept = cut(src.mapInPandas(_analysed, f"k {kind}, langs array<int>, terms array<array<int>>"))
+    kept = cut(src.mapInArrow(_analysed, f"k {kind}, langs array<int>, terms array<array<int>>"))
     tasks = max(kept.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     rows = spread(kept)
     nl, na = len(LANGUAGES), len(names)
 
     # Documents by language and term.
     def count(batches):
-        has, all_ = np.zeros((nl, COLUMNS), dtype=np.int64), np.zeros(nl, dtype=np.int64)
-        for _, langs, terms_ in _documents(batches):
-            for x, ts in zip(langs, terms_):
-                for lang, cols in _document_terms(x, ts):
-                    has[lang, cols] += 1
-                    all_[lang] += 1
-        return {"has": has, "all": all_}
+        has, all_ = np.zeros(nl * COLUMNS, dtype=np.int64), np.zeros(nl, dtype=np.int64)
+        for c in _chunks(batches):
+            doc, lang, column = c.distinct()
+            has += np.bincount(lang * COLUMNS + column, minlength=nl * COLUMNS)
+            heads = _heads(doc * nl + lang) if len(doc) else doc
+            all_ += np.bincount(lang[heads], minlength=nl)
+        return {"has": has.reshape(nl, COLUMNS), "all": all_}
 
     c = _summed(rows, tasks, count)
     has, total = c["has"], c["all"][:, None]
@@ -247,14 +282,19 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         def run(batches):
             basis, w, at = shared.value
             out = np.zeros(basis.shape, dtype=np.float64)
-            for _, langs, terms_ in _documents(batches):
-                for x, ts in zip(langs, terms_):
-                    for lang, cols in _document_terms(x, ts, at):
-                        v = w[lang, cols]
-                        on = v > 0
-                        if on.any():
-                            cols, v = cols[on], v[on] / np.linalg.norm(v[on])
-                            out[cols] += v[:, None] * (v @ basis[cols])
+            for c in _chunks(batches):
+                doc, lang, column = c.distinct(at)
+                v = w[lang, column]
+                row, column, v = (doc * nl + lang)[v > 0], column[v > 0], v[v > 0]
+                if not len(v):
+                    continue
+                heads = _heads(row)
+                number = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(row)]))
+                v = v / np.sqrt(np.add.reduceat(v * v, heads))[number]
+                y = np.add.reduceat(v[:, None] * basis[column], heads, axis=0)
+                order = np.argsort(column, kind="stable")
+                ends = _heads(column[order])
+                out[column[order][ends]] += np.add.reduceat((v[:, None] * y[number])[order], ends, axis=0)
             return {"q": out.astype(np.float32)}
 
         made = _summed(rows, tasks, run)["q"].astype(np.float64)
@@ -276,11 +316,11 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     shared = sc.broadcast((weight, 1.0, basis, scale, place_of))
 
     def weigh(batches):
-        space, out = _Space(*shared.value), np.zeros((nl, _BINS), dtype=np.int64)
-        for _, langs, terms_ in _documents(batches):
-            _, lang, _, heavy, _ = space.place(langs, terms_)
-            np.add.at(out, (lang, np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64)), 1)
-        return {"bins": out}
+        space, out = _Space(*shared.value), np.zeros(nl * _BINS, dtype=np.int64)
+        for c in _chunks(batches):
+            _, heavy, _ = space.place(c)
+            out += np.bincount(c.lang * _BINS + np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64), minlength=nl * _BINS)
+        return {"bins": out.reshape(nl, _BINS)}
 
     bins = _summed(rows, tasks, weigh)["bins"]
     at = np.array([np.searchsorted(np.cumsum(b), 0.7 * b.sum()) for b in bins]) * _STEP
@@ -288,12 +328,13 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
 
     def seed(batches):
         space, out = _Space(*shared.value), np.zeros((nl, na, len(scale)))
-        for keys, langs, terms_ in _documents(batches):
-            doc, lang, x, heavy, share = space.place(langs, terms_)
-            for n in np.flatnonzero((heavy > heavy_enough[lang]) & (share > SHARE)):
-                areas = keys[doc[n]][1]
-                for a in areas:
-                    out[lang[n], names.index(a)] += x[n] / len(areas)
+        for c in _chunks(batches):
+            areas = c.batch.column("areas").to_pylist()
+            v, heavy, share = space.place(c)
+            for n in np.flatnonzero((heavy > heavy_enough[c.lang]) & (share > SHARE)):
+                own = areas[c.doc[n]]
+                for a in own:
+                    out[c.lang[n], names.index(a)] += v[n] / len(own)
         return {"sum": out}
 
     made = _summed(rows.join(F.broadcast(known), "k"), tasks, seed)
@@ -309,21 +350,22 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         now = state()
 
         def refine(batches, now=now):
-            parts, c, e = now.value
+            parts, centre, e = now.value
             space, at = _Space(*parts), parts[-1]
-            sums = np.zeros((nl, na, c.shape[-1]))
+            sums = np.zeros((nl, na, centre.shape[-1]))
             width = parts[0].shape[1]
-            seen, mine = np.zeros((nl, width), dtype=np.int32), np.zeros((nl, na, width), dtype=np.int32)
-            for _, langs, terms_ in _documents(batches):
-                doc, lang, x, best = _assigned(space, c, e, langs, terms_)
-                np.add.at(sums, (lang, best), x)
-                about = _about(len(langs), na, doc, best)
-                for i in np.flatnonzero(about.any(1)):
-                    for k, cols in _document_terms(langs[i], terms_[i], at):
-                        seen[k, cols] += 1
-                        for a in np.flatnonzero(about[i]):
-                            mine[k, a, cols] += 1
-            return {"sum": sums, "seen": seen, "mine": mine}
+            seen, mine = np.zeros(nl * width, dtype=np.int32), np.zeros((na, nl * width), dtype=np.int32)
+            for c in _chunks(batches):
+                doc, lang, v, best = _assigned(space, centre, e, c)
+                np.add.at(sums, (lang, best), v)
+                about = _about(c.n, na, doc, best)
+                doc, lang, column = c.distinct(at)
+                place = lang * width + column
+                seen += np.bincount(place[about.any(1)[doc]], minlength=nl * width).astype(np.int32)
+                for a in np.flatnonzero(about.any(0)):
+                    mine[a] += np.bincount(place[about[doc, a]], minlength=nl * width).astype(np.int32)
+            mine = mine.reshape(na, nl, width).transpose(1, 0, 2)
+            return {"sum": sums, "seen": seen.reshape(nl, width), "mine": np.ascontiguousarray(mine)}
 
         r = _summed(rows, tasks, refine)
         now.destroy()
@@ -335,12 +377,12 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     final = state()
 
     def found(batches):
-        parts, c, e = final.value
+        parts, centre, e = final.value
         space = _Space(*parts)
-        for keys, langs, terms_ in _documents(batches):
-            doc, _, _, best = _assigned(space, c, e, langs, terms_)
-            i, a = np.nonzero(_about(len(langs), na, doc, best))
-            if len(i):
-                yield pd.DataFrame({key: [keys[x][0] for x in i], "subject": [names[x] for x in a]})
+        for c in _chunks(batches):
+            doc, _, _, best = _assigned(space, centre, e, c)
+            i, a = np.nonzero(_about(c.n, na, doc, best))
+            subject = pa.array([names[x] for x in a], pa.string())
+            yield pa.RecordBatch.from_arrays([c.batch.column("k").take(pa.array(i)), subject], [key, "subject"])
 
-    return rows.mapInPandas(found, f"{key} {kind}, subject string")
+    return rows.mapInArrow(found, f"{key} {kind}, subject string")
