@@ -115,4 +115,7 @@ def queries() -> dict:
 
 
 def oracle() -> dict[str, str]:
-    return dict(_SQL)
+    forms = f"SELECT doc_id, text, {visual.form_sql('text')} AS form FROM documents"
+    pairs = f"""WITH f AS ({forms}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b
+        ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.form, ' ' || chr(9) || chr(10)) <> ''"""
+    return _SQL | {"p2_form": f"SELECT doc_id, form FROM ({forms})", "p2_found": pairs}
