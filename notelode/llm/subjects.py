@@ -1,8 +1,9 @@
 """Subject areas of documents, by latent semantic analysis over the whole corpus.
 
-Every document is cut into sentences, every sentence into terms (words and word pairs; runs of letters in scripts
-without blanks), hashed into a fixed number of columns. Terms are weighted by how few documents of their language
-have them; block power iteration over all documents gives the leading singular vectors (truncated decomposition).
+All is worked out over the different texts, so that copies count once, and given to every document that has the text.
+Every text is cut into sentences, every sentence into terms (words and word pairs; runs of letters in scripts
+without blanks), hashed into a fixed number of columns. Terms are weighted by how few different texts of their language
+have them, smoothly, so that none is without weight for being common; block power iteration over all documents gives the leading singular vectors (truncated decomposition).
 A sentence's place is the weighted sum of its terms' places. Seeds are the centroids, per area and language, of
 sentences of labelled documents. Then, over all documents, sentences go to the centroid of the largest cosine,
 centroids move to the mean of their sentences, and terms that are not typical of any area lose weight. A document is
@@ -30,8 +31,10 @@ from notelode.session import cut, spread
 COLUMNS, RANK, TURNS, ROUNDS = 1 << 14, 160, 3, 3
 #: Labelled documents used for the seeds.
 LABELLED = 50_000
-#: Weight of a term is the logarithm of documents over documents with it, less FLOOR; rarer ones than LEAST don't count.
-FLOOR, LEAST, LEAST_PART = 1.7, 3, 0.0005
+#: Weight of a term is ln(1 + x / e^BEND), x being texts over texts with it: small for common terms, never 0.
+BEND = 1.7
+#: Terms of fewer documents don't count: LEAST, less where the language has few (FEW is the part), more where it has many.
+LEAST, FEW, LEAST_PART = 3, 0.15, 0.0005
 #: Least cosine; least weight of a sentence, as a part of its language's 70 % quantile; least part of it in the subspace.
 COSINE, HEAVY, SHARE = 0.4, 0.25, 0.03
 #: Sentences that make an area.
@@ -116,7 +119,7 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sizes.append(len(found))
                     columns += found
             made = _nested(sentences, _nested(sizes, pa.array(columns, pa.int32())))
-            yield pa.RecordBatch.from_arrays([part.column(0), _nested(sentences, pa.array(langs, pa.int32())), made], ["k", "langs", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _nested(sentences, pa.array(langs, pa.int32())), made], ["h", "copies", "langs", "terms"])
 
 
 Arrays = dict[str, np.ndarray]
@@ -169,6 +172,7 @@ class _Chunk:
         self.lang = langs.flatten().to_numpy().astype(np.int64)
         each = terms_.flatten()
         self.owner = np.repeat(np.arange(len(each)), np.diff(each.offsets.to_numpy()))
+        self.copies = batch.column("copies").to_numpy()
         self.column = each.flatten().to_numpy().astype(np.int64)
 
     def distinct(self, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,25 +250,30 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     if not names:
         return empty
     src = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    kept = cut(src.mapInArrow(_analysed, f"k {kind}, langs array<int>, terms array<array<int>>"))
+    digest = F.unhex(F.md5("t")).alias("h")
+    texts = src.filter("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("copies")).select(digest, "t", "copies")
+    kept = cut(texts.mapInArrow(_analysed, "h binary, copies bigint, langs array<int>, terms array<array<int>>"))
+    keys = src.filter("t IS NOT NULL").select("k", digest)
     tasks = max(kept.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     rows = spread(kept)
     nl, na = len(LANGUAGES), len(names)
 
-    # Documents by language and term.
+    # Texts by language and term.
     def count(batches):
-        has, all_ = np.zeros(nl * COLUMNS, dtype=np.int64), np.zeros(nl, dtype=np.int64)
+        has, all_ = np.zeros((2, nl * COLUMNS), dtype=np.int64), np.zeros((2, nl), dtype=np.int64)
         for c in _chunks(batches):
             doc, lang, column = c.distinct()
-            has += np.bincount(lang * COLUMNS + column, minlength=nl * COLUMNS)
             heads = _heads(doc * nl + lang) if len(doc) else doc
-            all_ += np.bincount(lang[heads], minlength=nl)
-        return {"has": has.reshape(nl, COLUMNS), "all": all_}
+            for i, w in enumerate((np.ones(c.n), c.copies)):
+                has[i] += np.bincount(lang * COLUMNS + column, weights=w[doc], minlength=nl * COLUMNS).astype(np.int64)
+                all_[i] += np.bincount(lang[heads], weights=w[doc[heads]], minlength=nl).astype(np.int64)
+        return {"has": has.reshape(2, nl, COLUMNS), "all": all_}
 
     c = _summed(rows, tasks, count)
-    has, total = c["has"], c["all"][:, None]
-    least = np.maximum(LEAST, LEAST_PART * total)
-    weight = np.where(has >= least, np.maximum(0.0, np.log((total + 1) / (has + 1)) - FLOOR), 0.0).astype(np.float32)
+    # Copies count for the lower limit alone: a text that comes often is not rare.
+    (has, often), (total, documents_) = c["has"], c["all"][:, :, None]
+    least = np.maximum(np.clip(FEW * documents_, 1, LEAST), LEAST_PART * documents_)
+    weight = np.where(often >= least, np.log1p((total + 1) / (has + 1) * np.exp(-BEND)), 0.0).astype(np.float32)
     # Only columns that have a weight in some language are carried on.
     active = np.flatnonzero(weight.any(0))
     if not len(active):
@@ -285,13 +294,15 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
             for c in _chunks(batches):
                 doc, lang, column = c.distinct(at)
                 v = w[lang, column]
-                row, column, v = (doc * nl + lang)[v > 0], column[v > 0], v[v > 0]
+                doc, row, column, v = doc[v > 0], (doc * nl + lang)[v > 0], column[v > 0], v[v > 0]
                 if not len(v):
                     continue
                 heads = _heads(row)
                 number = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(row)]))
                 v = v / np.sqrt(np.add.reduceat(v * v, heads))[number]
                 y = np.add.reduceat(v[:, None] * basis[column], heads, axis=0)
+                # Copies of a text weigh as their root: it has a place of its own, and doesn't drown the others.
+                y *= np.sqrt(c.copies[doc[heads]], dtype=np.float32)[:, None]
                 order = np.argsort(column, kind="stable")
                 ends = _heads(column[order])
                 out[column[order][ends]] += np.add.reduceat((v[:, None] * y[number])[order], ends, axis=0)
@@ -312,6 +323,9 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     known = labels.select(F.col(key).alias("k"), "subject").filter(F.col("subject").isin(names))
     known = known.groupBy("k").agg(F.array_sort(F.collect_set("subject")).alias("areas"))
     known = known.orderBy(F.xxhash64("k"), "k").limit(LABELLED)
+    # Documents of one text are one seed, to each area by the part of them that has it.
+    known = keys.join(F.broadcast(known), "k").select("h", F.explode("areas").alias("area"), (1 / F.size("areas")).alias("w"))
+    known = known.groupBy("h", "area").agg(F.sum("w").alias("w")).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("area", "w"))).alias("areas"))
     typical = np.ones((nl, len(active)), dtype=np.float32)
     shared = sc.broadcast((weight, 1.0, basis, scale, place_of))
 
@@ -333,11 +347,12 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
             v, heavy, share = space.place(c)
             for n in np.flatnonzero((heavy > heavy_enough[c.lang]) & (share > SHARE)):
                 own = areas[c.doc[n]]
+                whole = sum(a["w"] for a in own)
                 for a in own:
-                    out[c.lang[n], names.index(a)] += v[n] / len(own)
+                    out[c.lang[n], names.index(a["area"])] += v[n] * (a["w"] / whole)
         return {"sum": out}
 
-    made = _summed(rows.join(F.broadcast(known), "k"), tasks, seed)
+    made = _summed(rows.join(F.broadcast(known), "h"), tasks, seed)
     shared.destroy()
     if "sum" not in made or not made["sum"].any():
         return empty
@@ -371,8 +386,10 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         now.destroy()
         moved = np.linalg.norm(r["sum"], axis=-1, keepdims=True) > 0
         centroids = np.where(moved, _unit(r["sum"]), centroids)
-        # A term of which most documents are about one area is typical; one that is everywhere alike is not.
-        typical = np.clip((r["mine"].max(1) / (r["seen"] + 1.5) - 0.4) / 0.35, 0, 1).astype(np.float32)
+        # A term of which most texts are about one area is typical; one that is everywhere alike is not. Few texts say
+        # little: to them comes the largest area's part of its language's terms.
+        usual = r["mine"].sum(2).max(1) / np.maximum(r["seen"].sum(1), 1)
+        typical = np.clip(((r["mine"].max(1) + 1.5 * usual[:, None]) / (r["seen"] + 1.5) - 0.4) / 0.35, 0, 1).astype(np.float32)
 
     final = state()
 
@@ -383,6 +400,6 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
             doc, _, _, best = _assigned(space, centre, e, c)
             i, a = np.nonzero(_about(c.n, na, doc, best))
             subject = pa.array([names[x] for x in a], pa.string())
-            yield pa.RecordBatch.from_arrays([c.batch.column("k").take(pa.array(i)), subject], [key, "subject"])
+            yield pa.RecordBatch.from_arrays([c.batch.column("h").take(pa.array(i)), subject], ["h", "subject"])
 
-    return rows.mapInArrow(found, f"{key} {kind}, subject string")
+    return keys.join(rows.mapInArrow(found, "h binary, subject string"), "h").select(F.col("k").alias(key), "subject")

@@ -47,3 +47,32 @@ def test_odd_inputs(spark, monkeypatch):
     assert assign_subjects(df, "d", "t", labels.limit(0), ["heart"]).count() == 0
     assert assign_subjects(df.limit(0), "d", "t", labels, ["heart"]).count() == 0
     assert assign_subjects(df, "d", "t", labels, []).count() == 0
+
+
+def _small(spark):
+    """Two areas of 30 texts each, 40 texts of none, and copies of one text that make up a third of all rows."""
+    rows = [(i, f"Tim đập nhanh nhịp lệch. Mạch vành hẹp dần. Số {'bcdghklmrt'[i % 10] * 2} {'auv'[i // 10] * 3}.") for i in range(30)]
+    rows += [(100 + i, f"Gan to mềm. Dạ dày loét nông. Số {'bcdghklmrt'[i % 10] * 2} {'xeo'[i // 10] * 3}.") for i in range(30)]
+    rows += [(200 + i, f"Hẹn khám lại {'bcdghklmrt'[i % 10] * 2}. Đã dặn dò {'pnsq'[i // 10] * 3}.") for i in range(40)]
+    rows += [(300 + i, "Thận ứ nước độ hai. Niệu quản có sỏi nhỏ. Bể thận giãn vừa.") for i in range(50)]
+    labels = [(i, "heart") for i in range(10)] + [(100 + i, "belly") for i in range(10)] + [(300 + i, "kidney") for i in range(5)]
+    return spark.createDataFrame(rows, "d long, t string"), spark.createDataFrame(labels, "d long, subject string")
+
+
+def test_copies_make_up_a_third(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "RANK", 8)
+    df, labels = _small(spark)
+    got = {(r["d"], r["subject"]) for r in assign_subjects(df, "d", "t", labels, ["heart", "belly", "kidney"]).collect()}
+    assert got == {(i, "heart") for i in range(30)} | {(100 + i, "belly") for i in range(30)} | {(300 + i, "kidney") for i in range(50)}
+
+
+def test_few_texts_of_a_language(spark, monkeypatch):
+    """Copies of one English text and ten different German ones, beside many of another language."""
+    monkeypatch.setattr(subjects, "RANK", 8)
+    df, labels = _small(spark)
+    few = [(400 + i, "The heart was beating fast. The pulse is irregular and weak.") for i in range(24)]
+    few += [(500 + i, f"Der Magen ist entzündet {w}. Die Leber war vergrößert {w}.") for i, w in enumerate("aaa bbb ccc ddd eee fff ggg hhh iii jjj".split())]
+    df = df.union(spark.createDataFrame(few, df.schema))
+    labels = labels.union(spark.createDataFrame([(400, "heart"), (500, "belly"), (501, "belly")], labels.schema))
+    got = {(r["d"], r["subject"]) for r in assign_subjects(df, "d", "t", labels, ["heart", "belly", "kidney"]).collect()}
+    assert {x for x in got if x[0] >= 400} == {(400 + i, "heart") for i in range(24)} | {(500 + i, "belly") for i in range(10)}
