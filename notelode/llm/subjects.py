@@ -2,22 +2,23 @@
 
 All is worked out over the different texts, so that copies count once, and given to every document that has the text.
 Every text is cut into sentences, every sentence into terms (words and word pairs; runs of letters in scripts
-without blanks), hashed into a fixed number of columns. Terms are weighted by how few different texts of their language
+without blanks), numbered in 63 bits and counted exactly by language. Those that are frequent enough make the columns. Terms are weighted by how few different texts of their language
 have them, smoothly, so that none is without weight for being common; block power iteration over all documents gives the leading singular vectors (truncated decomposition).
 A sentence's place is the weighted sum of its terms' places. Seeds are the centroids, per area and language, of
 sentences of labelled documents. Then, over all documents, sentences go to the centroid of the largest cosine,
 centroids move to the mean of their sentences, and terms that are not typical of any area lose weight. A document is
 about an area that at least two of its sentences go to.
 
-What is gathered from the corpus has a bounded size, whatever the number of documents: columns x rank, columns x areas.
+What is gathered from the corpus is columns x rank and columns x areas. With t terms in a document on average, at most
+t / LEAST_PART terms of a language are in LEAST_PART of its documents, so columns don't grow with their number.
 Labels are used for the seeds only, of at most LABELLED documents. Null and blank documents have no area, nor have
 documents whose language has no labelled example of it; an empty label table gives no area at all.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from notelode.llm.sentences import split_shown
 from notelode.session import cut, spread
 
-COLUMNS, RANK, TURNS, ROUNDS = 1 << 14, 160, 3, 3
+RANK, TURNS, ROUNDS = 160, 3, 3
 #: Labelled documents used for the seeds.
 LABELLED = 50_000
 #: Weight of a term is ln(1 + x / e^BEND), x being texts over texts with it: small for common terms, never 0.
@@ -71,13 +72,16 @@ def language(shown: str, text: str) -> int:
     return found.index(max(found)) if any(found) else -1
 
 
+_MASK = (1 << 63) - 1
+
+
 class _Numbers(dict):
     """A number for each string, worked out when it is first met; starts over when it holds too many."""
 
     def __missing__(self, x: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        n = self[x] = zlib.crc32(x.encode())
+        n = self[x] = int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) & _MASK
         return n
 
 
@@ -86,19 +90,19 @@ _WORD, _THAI, _HAN = re.compile("[a-z]{2,}"), re.compile("[฀-๿]{4,}"), re.co
 
 
 def terms(shown: str) -> list[int]:
-    """Columns of a sentence's terms: words and pairs of words, runs of four Thai or two Chinese or Japanese letters."""
+    """Numbers of a sentence's terms: words and pairs of words, runs of four Thai or two Chinese or Japanese letters."""
     s = shown.lower()
     words = [_NUMBER[w] for w in _WORD.findall(s)]
-    out = {w % COLUMNS for w in words}
-    out.update([(a * 31 + b) % COLUMNS for a, b in zip(words, words[1:])])
+    out = set(words)
+    out.update([(a * 31 + b) & _MASK for a, b in zip(words, words[1:])])
     for run in _THAI.findall(s):
-        out.update([_NUMBER[run[i : i + 4]] % COLUMNS for i in range(len(run) - 3)])
+        out.update([_NUMBER[run[i : i + 4]] for i in range(len(run) - 3)])
     for run in _HAN.findall(s):
-        out.update([_NUMBER[run[i : i + 2]] % COLUMNS for i in range(len(run) - 1)])
+        out.update([_NUMBER[run[i : i + 2]] for i in range(len(run) - 1)])
     return sorted(out)
 
 
-def _nested(counts: list[int], values: pa.Array) -> pa.ListArray:
+def _nested(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
@@ -106,7 +110,7 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            sentences, langs, sizes, columns = [], [], [], []
+            sentences, langs, sizes, numbers = [], [], [], []
             for t in part.column(1).to_pylist():
                 parts = split_shown(t) if t else []
                 own = [language(shown, t[x:y]) for x, y, shown in parts]
@@ -117,8 +121,8 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for _, _, shown in parts:
                     found = terms(shown)
                     sizes.append(len(found))
-                    columns += found
-            made = _nested(sentences, _nested(sizes, pa.array(columns, pa.int32())))
+                    numbers += found
+            made = _nested(sentences, _nested(sizes, pa.array(numbers, pa.int64())))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _nested(sentences, pa.array(langs, pa.int32())), made], ["h", "copies", "langs", "terms"])
 
 
@@ -175,14 +179,14 @@ class _Chunk:
         self.copies = batch.column("copies").to_numpy()
         self.column = each.flatten().to_numpy().astype(np.int64)
 
-    def distinct(self, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, language, column) of each distinct one, in that order; with at, places of columns that have one."""
-        column = self.column if at is None else at[self.column].astype(np.int64)
-        on = column >= 0
-        row = self.doc[self.owner[on]] * len(LANGUAGES) + self.lang[self.owner[on]]
-        code = np.unique(row * COLUMNS + column[on])
-        row = code // COLUMNS
-        return row // len(LANGUAGES), row % len(LANGUAGES), code % COLUMNS
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, language, column) of each distinct one, in that order."""
+        row = self.doc[self.owner] * len(LANGUAGES) + self.lang[self.owner]
+        order = np.lexsort((self.column, row))
+        row, column = row[order], self.column[order]
+        on = _heads(row, column) if len(row) else row
+        row = row[on]
+        return row // len(LANGUAGES), row % len(LANGUAGES), column[on]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
@@ -191,23 +195,72 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
             yield _Chunk(b.slice(i, CHUNK))
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
+def _heads(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
-    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    new = x[1:] != x[:-1]
+    for y in more:
+        new |= y[1:] != y[:-1]
+    return np.flatnonzero(np.r_[True, new])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and documents by language and term, summed up over about a million entries at a time."""
+    names = ["lang", "term", "texts", "documents"]
+    made: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if made:
+            lang, term, copies = (np.concatenate(x) for x in zip(*made))
+            made.clear()
+            order = np.lexsort((term, lang))
+            lang, term, copies = lang[order], term[order], copies[order]
+            heads = _heads(lang, term)
+            texts = np.diff(np.r_[heads, len(lang)])
+            columns = [lang[heads].astype(np.int32), term[heads], texts.astype(np.int64), np.add.reduceat(copies, heads)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    waiting = 0
+    for c in _chunks(batches):
+        doc, lang, term = c.distinct()
+        if len(doc):
+            made.append((lang, term, c.copies[doc]))
+            waiting += len(doc)
+        if waiting > 1_000_000:
+            yield from flush()
+            waiting = 0
+    yield from flush()
+
+
+def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Terms to their columns, those without one left out; shared has the sorted terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            outer = b.column("terms")
+            inner = outer.flatten()
+            term = inner.flatten().to_numpy()
+            column = np.minimum(np.searchsorted(known, term), len(known) - 1)
+            on = known[column] == term
+            owner = np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))
+            made = _nested(np.bincount(owner[on], minlength=len(inner)), pa.array(column[on].astype(np.int32)))
+            made = _nested(np.diff(outer.offsets.to_numpy()), made)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("copies"), b.column("langs"), made], b.schema.names)
+
+    return run
 
 
 class _Space:
     """Places of sentences, given the weights of terms and the basis."""
 
-    def __init__(self, weight: np.ndarray, typical: np.ndarray | float, basis: np.ndarray, scale: np.ndarray, at: np.ndarray):
-        self.weight, self.basis, self.scale, self.at = (weight * typical).astype(np.float32), basis, scale, at
+    def __init__(self, weight: np.ndarray, typical: np.ndarray | float, basis: np.ndarray, scale: np.ndarray):
+        self.weight, self.basis, self.scale = (weight * typical).astype(np.float32), basis, scale
 
     def place(self, c: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every sentence of a chunk: unit vector, weight, share in the subspace."""
-        column = self.at[c.column]
-        w = np.where(column >= 0, self.weight[c.lang[c.owner], column], 0)
+        w = self.weight[c.lang[c.owner], c.column]
         on = w > 0
-        owner, column, w = c.owner[on], column[on], w[on]
+        owner, column, w = c.owner[on], c.column[on], w[on]
         out = np.zeros((len(c.lang), self.basis.shape[1]), dtype=np.float32)
         if len(w):
             heads = _heads(owner)
@@ -252,47 +305,44 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     src = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
     digest = F.unhex(F.md5("t")).alias("h")
     texts = src.filter("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("copies")).select(digest, "t", "copies")
-    kept = cut(texts.mapInArrow(_analysed, "h binary, copies bigint, langs array<int>, terms array<array<int>>"))
+    shape = "h binary, copies bigint, langs array<int>, terms array<array<{}>>"
+    read = cut(texts.mapInArrow(_analysed, shape.format("bigint")))
     keys = src.filter("t IS NOT NULL").select("k", digest)
-    tasks = max(kept.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    rows = spread(kept)
     nl, na = len(LANGUAGES), len(names)
 
-    # Texts by language and term.
-    def count(batches):
-        has, all_ = np.zeros((2, nl * COLUMNS), dtype=np.int64), np.zeros((2, nl), dtype=np.int64)
-        for c in _chunks(batches):
-            doc, lang, column = c.distinct()
-            heads = _heads(doc * nl + lang) if len(doc) else doc
-            for i, w in enumerate((np.ones(c.n), c.copies)):
-                has[i] += np.bincount(lang * COLUMNS + column, weights=w[doc], minlength=nl * COLUMNS).astype(np.int64)
-                all_[i] += np.bincount(lang[heads], weights=w[doc[heads]], minlength=nl).astype(np.int64)
-        return {"has": has.reshape(2, nl, COLUMNS), "all": all_}
-
-    c = _summed(rows, tasks, count)
+    # Texts by language and term; terms that are frequent enough in some language are carried on, as columns.
+    langs = F.expr("array_distinct(transform(filter(arrays_zip(langs, terms), x -> size(x.terms) > 0), x -> x.langs))")
+    total, documents_ = np.zeros((nl, 1)), np.zeros((nl, 1))
+    for r in read.select(F.explode(langs).alias("lang"), "copies").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("m")).collect():
+        total[r["lang"]], documents_[r["lang"]] = r["n"], r["m"]
     # Copies count for the lower limit alone: a text that comes often is not rare.
-    (has, often), (total, documents_) = c["has"], c["all"][:, :, None]
     least = np.maximum(np.clip(FEW * documents_, 1, LEAST), LEAST_PART * documents_)
-    weight = np.where(often >= least, np.log1p((total + 1) / (has + 1) * np.exp(-BEND)), 0.0).astype(np.float32)
-    # Only columns that have a weight in some language are carried on.
-    active = np.flatnonzero(weight.any(0))
-    if not len(active):
+    counts = spread(read).mapInArrow(_counted, "lang int, term bigint, texts bigint, documents bigint")
+    counts = counts.groupBy("lang", "term").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
+    limit = F.element_at(F.array(*(F.lit(float(x)) for x in least[:, 0])), F.col("lang") + 1)
+    table = counts.filter(F.col("documents") >= limit).select("lang", "term", "texts").toArrow()
+    lang, term, has = (table.column(x).to_numpy() for x in ("lang", "term", "texts"))
+    columns, at = np.unique(term, return_inverse=True)
+    if not len(columns):
         return empty
-    place_of = np.full(COLUMNS, -1, dtype=np.int32)
-    place_of[active] = np.arange(len(active), dtype=np.int32)
-    weight = np.ascontiguousarray(weight[:, active])
-
-    # Leading right singular vectors of documents x terms, unit rows, by block power iteration.
+    weight = np.zeros((nl, len(columns)), dtype=np.float32)
+    weight[lang, at] = np.log1p((total[lang, 0] + 1) / (has + 1) * np.exp(-BEND))
     sc = spark.sparkContext
+    shared_columns = sc.broadcast(columns)
+    kept = cut(spread(read).mapInArrow(_encoder(shared_columns), shape.format("int")))
+    shared_columns.destroy()
+    tasks = max(kept.rdd.getNumPartitions(), sc.defaultParallelism)
+    rows = spread(kept)
 
+    # Leading right singular vectors of documents x terms, unit rows, by block power iteration.
     def times(q: np.ndarray) -> np.ndarray:
-        shared = sc.broadcast((q.astype(np.float32), weight, place_of))
+        shared = sc.broadcast((q.astype(np.float32), weight))
 
         def run(batches):
-            basis, w, at = shared.value
+            basis, w = shared.value
             out = np.zeros(basis.shape, dtype=np.float64)
             for c in _chunks(batches):
-                doc, lang, column = c.distinct(at)
+                doc, lang, column = c.distinct()
                 v = w[lang, column]
                 doc, row, column, v = doc[v > 0], (doc * nl + lang)[v > 0], column[v > 0], v[v > 0]
                 if not len(v):
@@ -312,7 +362,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         shared.destroy()
         return made
 
-    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(active), min(RANK, len(active)))))[0]
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(columns), min(RANK, len(columns)))))[0]
     for _ in range(TURNS):
         q = np.linalg.qr(times(q))[0]
     small = q.T @ times(q)
@@ -326,8 +376,8 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     # Documents of one text are one seed, to each area by the part of them that has it.
     known = keys.join(F.broadcast(known), "k").select("h", F.explode("areas").alias("area"), (1 / F.size("areas")).alias("w"))
     known = known.groupBy("h", "area").agg(F.sum("w").alias("w")).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("area", "w"))).alias("areas"))
-    typical = np.ones((nl, len(active)), dtype=np.float32)
-    shared = sc.broadcast((weight, 1.0, basis, scale, place_of))
+    typical = np.ones((nl, len(columns)), dtype=np.float32)
+    shared = sc.broadcast((weight, 1.0, basis, scale))
 
     def weigh(batches):
         space, out = _Space(*shared.value), np.zeros(nl * _BINS, dtype=np.int64)
@@ -359,14 +409,14 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     centroids = _unit(made["sum"])
 
     def state():
-        return sc.broadcast(((weight, typical, basis, scale, place_of), centroids, heavy_enough))
+        return sc.broadcast(((weight, typical, basis, scale), centroids, heavy_enough))
 
     for _ in range(ROUNDS):
         now = state()
 
         def refine(batches, now=now):
             parts, centre, e = now.value
-            space, at = _Space(*parts), parts[-1]
+            space = _Space(*parts)
             sums = np.zeros((nl, na, centre.shape[-1]))
             width = parts[0].shape[1]
             seen, mine = np.zeros(nl * width, dtype=np.int32), np.zeros((na, nl * width), dtype=np.int32)
@@ -374,7 +424,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                 doc, lang, v, best = _assigned(space, centre, e, c)
                 np.add.at(sums, (lang, best), v)
                 about = _about(c.n, na, doc, best)
-                doc, lang, column = c.distinct(at)
+                doc, lang, column = c.distinct()
                 place = lang * width + column
                 seen += np.bincount(place[about.any(1)[doc]], minlength=nl * width).astype(np.int32)
                 for a in np.flatnonzero(about.any(0)):

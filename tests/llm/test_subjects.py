@@ -76,3 +76,20 @@ def test_few_texts_of_a_language(spark, monkeypatch):
     labels = labels.union(spark.createDataFrame([(400, "heart"), (500, "belly"), (501, "belly")], labels.schema))
     got = {(r["d"], r["subject"]) for r in assign_subjects(df, "d", "t", labels, ["heart", "belly", "kidney"]).collect()}
     assert {x for x in got if x[0] >= 400} == {(400 + i, "heart") for i in range(24)} | {(500 + i, "belly") for i in range(10)}
+
+
+def test_terms_have_numbers_of_their_own(spark):
+    """As many numbers as terms, and counts by language and term equal to a plain count."""
+    words = [a + b + c + d for a in "bcdghklmnprstvx" for b in "aeiou" for c in "bcdghklmnprstvx" for d in "aeiou"]
+    pairs = [f"{a} {b}" for a in words[:150] for b in words[:150]]
+    made = [n for w in words for n in terms(w)] + [max(set(terms(p)) - set(terms(p.split()[0])) - set(terms(p.split()[1]))) for p in pairs]
+    assert len(set(made)) == len(words) + len(pairs)
+
+    rows = [(["the " + words[i % 7] + " and " + words[i]], i % 3 + 1) for i in range(400)]
+    want = defaultdict(lambda: [0, 0])
+    for (t,), copies in rows:
+        for n in terms(t):
+            want[n] = [want[n][0] + 1, want[n][1] + copies]
+    df = spark.createDataFrame([(c, [1] * len(x), [terms(t) for t in x]) for x, c in rows], "copies bigint, langs array<int>, terms array<array<bigint>>")
+    got = df.mapInArrow(subjects._counted, "lang int, term bigint, texts bigint, documents bigint").groupBy("lang", "term").sum("texts", "documents").collect()
+    assert {r[1]: [r[2], r[3]] for r in got} == dict(want) and {r[0] for r in got} == {1}
