@@ -154,8 +154,8 @@ _ADDRESSES = [
 ]
 #: Words without which none of the addresses can be there.
 _PLACES = re.compile(
-    r"ngo|hem|ngach|kiet|duong|pho |chung cu|khu pho|, xa |, (?:Q|P|TP)\.|quan |huyen|Close|Row|Lane|Street|Road|Avenue|Court|Hill|Way|House|Tower|Mansions|"
-    r"stieg|weg|gasse|platz|allee|stra|str\.|rue|av\.|avenue|bd |boulevard|chemin|place|号|住所|หมู่|ถนน"
+    r"ngo|hem|ngach|kiet|duong|pho |chung cu|khu pho|, xa |, (?:Q|P|TP)\.|quan|phuong|huyen|Close|Row|Lane|Street|Road|Avenue|Court|Hill|Way|House|Tower|Mansions|"
+    r"stieg|weg|gasse|platz|allee|stra|str\.|rue|av\.|avenue|bd|boulevard|chemin|place|号|住所|หมู่|ถนน"
 )
 _TABLE = re.compile(r"[A-Za-z] - $")
 

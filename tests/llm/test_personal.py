@@ -2,6 +2,7 @@
 
 import pytest
 
+from notelode.llm import personal
 from notelode.llm.personal import find, personal_items, redact, redacted
 
 CASES = [
@@ -41,6 +42,36 @@ def test_cases(text, items):
     assert [(k, text[b:e]) for k, b, e in find(text)] == items
 
 
+# A shortest match of every pattern of an address, and of each choice that has a word of its own.
+ADDRESSES = [
+    *(f"So 1, {x} 1, {y} A, {z}B, {w}C" for x in ("ngo", "hem", "ngach", "kiet") for y in ("duong", "pho") for z in ("phuong", "xa", "thi tran", "P.") for w in ("thanh pho", "TP.", "tinh")),
+    *(f"1/1 {y} A, {z}B, {w}C" for y in ("duong", "pho") for z in ("phuong", "P.") for w in ("thanh pho", "TP.")),
+    *(f"1 A, {z}B" for z in ("Q.", "quan", "P.", "phuong", "TP.", "huyen")),
+    "Can 1 chung cu A, duong B, C",
+    *(f"To 1 khu pho A, {z} B" for z in ("thi tran", "phuong", "xa")),
+    *(f"{x} 1, xa A, {z} B" for x in ("Thon", "Ap", "Xom", "Ban", "Khu", "Doi") for z in ("huyen", "thi xa")),
+    *(f"1 A {x}, Bb" for x in ("Close", "Row", "Lane", "Street", "Road", "Avenue", "Court", "Hill", "Way")),
+    *(f"Flat 1, Aa {x}, Bb" for x in ("Court", "House", "Tower", "Mansions")),
+    *(f"Aa{x} 1, Bb" for x in ("stieg", "weg", "gasse", "platz", "allee", "strasse", "straße", "str.")),
+    *(f"1, {x}Aa, Bb" for x in ("rue", "av.", "avenue", "bd", "boulevard", "chemin", "place")),
+    "现住白霧市山山1号",
+    "住所は山市山1",
+    "1 หมู่ 1 ตำบลก",
+    "1 ถนนก เมืองก",
+]
+
+
+@pytest.mark.parametrize("address", ADDRESSES)
+def test_no_address_is_passed_over(address):
+    assert any(p.search(address) for p in personal._ADDRESSES) and personal._PLACES.search(address)
+
+
+def test_every_address_pattern_is_asked():
+    assert all(any(p.search(a) for a in ADDRESSES) for p in personal._ADDRESSES)
+    text = "Ở 12 Hòa Bình, phường Bến Lau, từ lâu."
+    assert [(k, text[b:e]) for k, b, e in find(text)] == [("address", "12 Hòa Bình, phường Bến Lau")]
+
+
 def test_rest_stays():
     text = "Gọi số 0549 502973 nếu\r\ncó kết quả. BS. Vương Sĩ Vĩnh ký."
     assert redact(text) == "Gọi số [PHONE] nếu\r\ncó kết quả. BS. [NAME] ký."
