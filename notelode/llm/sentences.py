@@ -248,6 +248,30 @@ def _span(s: str, b: int, e: int, quoted: bool, thai: bool) -> float:
     return score
 
 
+def _quotations(s: str, b: int, e: int) -> list[tuple[int, int]]:
+    """Places of the opening and closing marks of the outermost quotations in a block; marks without a fellow don't count."""
+    out: list[tuple[int, int]] = []
+    opened: list[tuple[int, str]] = []
+    for m in _QUOTED.finditer(s, b, e):
+        c, i = m[0], m.start()
+        if c == '"':
+            closes = any(x == '"' for _, x in opened)
+        else:
+            closes = _QUOTES[c] < 0 or c == "“" and any(x == "„" for _, x in opened)
+        if not closes:
+            opened.append((i, c))
+            continue
+        # A mark of the other kind that is still open was left open by mistake.
+        while opened and (opened[-1][1] == '"') != (c == '"') and any((x == '"') == (c == '"') for _, x in opened):
+            opened.pop()
+        if opened and (opened[-1][1] == '"') == (c == '"'):
+            at, _ = opened.pop()
+            while out and out[-1][0] > at:
+                out.pop()
+            out.append((at, i))
+    return out
+
+
 def split(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, in code points, half-open."""
     return [(b, e) for b, e, _ in split_shown(text)]
@@ -270,16 +294,25 @@ def split_shown(text: str) -> list[tuple[int, int, str]]:
                 if x > -5:
                     cuts.append((at, x))
         # best[j]: best score of a cut of everything before candidate j; a cut's own score counts once.
-        ends = [(begin, 0.0), *cuts, (end, 0.0)]
-        best, came = [0.0], [0]
         quoted, thai = _QUOTED.search(s, begin, end) is not None, _THAI.search(s, begin, end) is not None
+        if quoted and cuts:
+            # A cut inside a quotation costs by itself, however many sentences are in it.
+            inside = _quotations(s, begin, end)
+            cuts = [(at, x - 5.0 * any(i < at <= j for i, j in inside)) for at, x in cuts]
+        ends = [(begin, 0.0), *cuts, (end, 0.0)]
+        # most[j]: the largest of best up to j.
+        best, came, most = [0.0], [0], [0.0]
         for j in range(1, len(ends)):
             top, arg = -1e18, 0
-            for i in range(j - 1, max(-1, j - 13), -1):
+            for i in range(j - 1, -1, -1):
+                # No span is above its length penalty, which grows with it; that may rule out this one and all before it.
+                if most[i] - max(0.0, (len(s[ends[i][0] : ends[j][0]].strip()) - 220) / 40) <= top:
+                    break
                 x = best[i] + _span(s, ends[i][0], ends[j][0], quoted, thai)
                 if x > top:
                     top, arg = x, i
             best.append(top + ends[j][1])
+            most.append(max(most[-1], best[-1]))
             came.append(arg)
         j, found = len(ends) - 1, []
         while j > 0:

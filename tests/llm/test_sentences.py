@@ -42,6 +42,23 @@ def test_every_character_once():
         assert all(n == 1 or (n == 0 and (c.isspace() or c == "\u200b")) for n, c in zip(seen, text)), repr(text)
 
 
+def test_many_ends_that_are_none():
+    text = "Bệnh nhân nói" + " a... b" * 16 + " rồi ngủ."
+    assert split(text) == [(0, len(text))]
+
+
+@pytest.mark.parametrize(("a", "b"), ["“”", "«»", '""', "„“"])
+@pytest.mark.parametrize("n", [2, 4, 7])
+def test_quoted_speech_stays_whole(a, b, n):
+    said = ". ".join(["Tôi đau ngực", "Tôi khó thở", "Tôi ngủ kém", "Tôi ăn ít", "Tôi sốt cao", "Tôi ho khan", "Tôi mệt lắm"][:n])
+    text = f"Bà kể: {a}{said}.{b} Đã khám. Đã dặn."
+    assert [text[x:y] for x, y in split(text)] == [f"Bà kể: {a}{said}.{b}", "Đã khám.", "Đã dặn."]
+
+
+def test_mark_left_open():
+    assert len(split("Bà kể “đau ngực. Đã khám. Đã dặn. Hẹn tái khám.")) == 4
+
+
 def test_table(spark):
     long = "Đã dặn dò kỹ! " * 4000
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, " \n\t", 3), (4, "A. ", 4), (5, long, 5), (5, "Một.", 6)], "k int, text string, t int")
