@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelode.llm.forms import bare, plain
-from notelode.session import cores
+from notelode.session import cores, cut
 
 PART = 50_000
 #: Characters of a form that deletes are taken from, and the most edits.
@@ -186,19 +186,24 @@ class Matcher:
 
     def match(self, text: str | None) -> tuple[str | None, float]:
         """The entry meant and its distance; (None, -1) for a miss."""
+        return self.ranked(text)[:2]
+
+    def ranked(self, text: str | None) -> tuple[str | None, float, int, float, int]:
+        """The entry meant, its distance, and what it is chosen by: step of the search, rounded distance, frequency."""
         if text is None:
-            return None, -1.0
+            return None, -1.0, 0, 0.0, 0
         if (known := self.cache.get(text)) is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            known = self.cache[text] = self._match(text)
+            term, x, step = self._match(text)
+            known = self.cache[text] = (term, x, step, round(x, 3), self.often[term] if term is not None else 0)
         return known
 
-    def _match(self, text: str) -> tuple[str | None, float]:
+    def _match(self, text: str) -> tuple[str | None, float, int]:
         keys = [(kind, key) for kind, key in self.profile.keys(self.profile.clean(text)) if key]
         same = {term: 0.0 for k in keys for _, term in self.exact.get(k, ())}
         if same:
-            return self._best(same)
+            return *self._best(same), 0
         for edits in (1, EDITS):  # few edits first: most texts need no wider search
             found: dict[str, float] = {}
             for kind, key in keys:
@@ -211,8 +216,8 @@ class Matcher:
                     if abs(len(form) - len(key)) <= most / 0.7 and (x := distance(key, form, most)) <= most:
                         found[term] = min(found.get(term, 9e9), x)
             if found:
-                return self._best(found)
-        return None, -1.0
+                return *self._best(found), edits
+        return None, -1.0, 0
 
 
 def map_to_reference(
@@ -236,27 +241,31 @@ def map_to_reference(
     def run(part: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matchers = {name: Matcher(block, PROFILES[name]) for name, block in part.items()}
-            miss = (None, -1.0)
+            miss = (None, -1.0, 0, 0.0, 0)
             for b in batches:
                 got = [
-                    matchers[k].match(t) if k in matchers and isinstance(t, str) else miss
+                    matchers[k].ranked(t) if k in matchers and isinstance(t, str) else miss
                     for k, t in zip(b["kind"], b["text"], strict=True)
                 ]
-                yield b.assign(term=[t for t, _ in got], distance=[float(x) for _, x in got])
+                made = b.assign(term=[x[0] for x in got], distance=[float(x[1]) for x in got])
+                yield made.assign(step=[x[2] for x in got], near=[float(x[3]) for x in got], often=[x[4] for x in got]) if "row" in b else made
 
         return mapped
 
     schema = f"key {dict(src.dtypes)['key']}, kind string, text string, term string, distance double"
     # Matching costs far more than moving a short row: as many tasks as there are slots, however little data.
     src = src.repartition(cores(rows.sparkSession))
-    done = [src.mapInPandas(run(part), schema) for part in parts or [{}]]
-    if len(done) == 1:
-        return done[0].withColumnRenamed("key", key)
-    every = done[0]
-    for x in done[1:]:
-        every = every.unionByName(x)
-    best = F.min(F.struct(F.col("term").isNull().alias("miss"), "distance", "term", "kind", "text"))
-    return every.groupBy("key").agg(best.alias("b")).select(F.col("key").alias(key), "b.kind", "b.text", "b.term", "b.distance")
+    if len(parts) < 2:
+        return src.mapInPandas(run(parts[0] if parts else {}), schema).withColumnRenamed("key", key)
+    # The best of all parts, chosen as within one. Numbers of rows must be the same for every part.
+    src = cut(src.withColumn("row", F.monotonically_increasing_id()))
+    schema = schema.replace("term string", "row bigint, term string") + ", step int, near double, often bigint"
+    every = src.mapInPandas(run(parts[0]), schema)
+    for part in parts[1:]:
+        every = every.unionByName(src.mapInPandas(run(part), schema))
+    order = [F.col("term").isNull().alias("miss"), "step", "near", (-F.col("often")).alias("seldom"), "term"]
+    best = F.min(F.struct(*order, "distance", "key", "kind", "text"))
+    return every.groupBy("row").agg(best.alias("b")).select(F.col("b.key").alias(key), "b.kind", "b.text", "b.term", "b.distance")
 
 
 def latest(rows: DataFrame, key: str, at: str, *columns: str) -> DataFrame:

@@ -77,3 +77,17 @@ def test_table(spark, monkeypatch):
     empty = {k: v.limit(0) for k, v in refs.items()}
     assert {r["term"] for r in map_to_reference(df, "id", F.col("type"), F.col("text"), empty).collect()} == {None}
     assert map_to_reference(df.limit(0), "id", F.col("type"), F.col("text"), refs).count() == 0
+
+
+def test_parts_choose_like_one(spark, monkeypatch):
+    """Ties are decided by frequency, and repeated keys keep a row each, however the list is parted."""
+    entries = [("abcdefgv", 9), ("abcdefgt", 1), ("hijklmno", 1), ("hijklmnr", 5), *((t, 1) for t in DRUG)]
+    texts = ["abcdefgq", "abcdefgq", "hijklmnq", "abcdefgv", "bradaprazon", "nothing like it", None]
+    df = spark.createDataFrame([(i // 2, "drug", t) for i, t in enumerate(texts)], "id long, type string, text string")
+    refs = {"drug": spark.createDataFrame([(t, n) for t, n in entries], "term string, frequency long")}
+    made = []
+    for part in (canonical.PART, 1, 2):
+        monkeypatch.setattr(canonical, "PART", part)
+        made.append(sorted(map(str, map_to_reference(df, "id", F.col("type"), F.col("text"), refs).collect())))
+    assert len(made[0]) == len(texts) and made[0] == made[1] == made[2]
+    assert sum("'abcdefgv'" in r for r in made[0]) == 3
