@@ -2,8 +2,12 @@
 
 A text is cut into blocks that no sentence crosses: list items, headings, paragraphs; a line that was only wrapped goes
 on. Within a block every mark or blank that may end a sentence is a candidate, and dynamic programming over whole spans
-between candidates (semi-Markov) finds the best cut: a span is scored by its closing word and mark together with how
-the next one opens, by its length, by whether its quotations are closed, and by whether it is complete.
+between candidates (semi-Markov) finds the best cut: a span is scored by how it opens, by its closing word and mark, by
+its length, by whether its quotations are closed, and by whether it is complete.
+
+How sentences open and which abbreviations may end one is learned from all texts, without labels: words that stand at
+the beginning of lines, where a sentence opens for sure, are compared with the same words elsewhere (Openings). Without
+such counts, as for a single text, case and marks decide alone.
 
 A null or blank text has no sentence. Every character that isn't blank is in exactly one.
 """
@@ -11,65 +15,166 @@ A null or blank text has no sentence. Every character that isn't blank is in exa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelode.llm.reading import read
-from notelode.session import spread
+from notelode.session import cut, spread
 
-# Abbreviations, bare and in lower case. Some stand before a name or number, some may end a sentence.
+# Abbreviations, bare and in lower case. After some a sentence goes on; others may end one.
 _LEAD = set(
-    "bs ths ktv bcn ks cn dd ls dr prof st mr mrs ms nr no nos sect sec vol fig art tr p pp s cf vgl z z.b u u.a d.h q tp tx "
-    "approx gez av bd ave str hr fr mme mlle bzw bspw ref tel dt ext evtl ggf inkl sr jr dept ed eds".split()
+    "bs ths ts pgs ktv bcn ks cn dd ls tk cki ckii d.h q tp tx "
+    "dr prof st mr mrs ms mx nr no nos sect sec vol fig figs art ch eq ref tel ext dept ed eds approx est fr sr jr rev gen col capt cpt lt maj sgt "
+    "cmdr adm gov pres sen rep hon messrs mme mlle mt ft rd ave "
+    "tr p pp s cf vgl z z.b u u.a bzw bspw evtl ggf inkl gez str hr dipl ing med gebr hl sog bd av bl env éd pl".split()
 )
-_TITLE_END = set("gs pgs ts tk cki ckii".split())
-_MAY_END = set("v.v etc i.e e.g vs min p.o tgl usw ca max resp sec std wk mo inc ltd co corp mg ml a.m p.m v.v. vv".split())
-# How sentences go on after a quotation, and how they open where letter case doesn't tell.
+_MAY_END = set("gs v.v vv etc i.e e.g vs min max p.o tgl usw ca resp std wk mo inc ltd co corp mg ml kg a.m p.m u.s".split())
+#: Before small letters these are words, also of other spelling with marks.
+_FOR_NUMBERS = {"ca", "no"}
+# How a sentence goes on after a quotation in Chinese and Japanese.
 _GOES_ON = ("随后", "然后", "と", "って", "の", "、", "，", ",")
-_OPENS = tuple(
-    "nhu da|hom qua|sang nay|tinh tu|rieng lan|theo so|qua phieu|ve phia|them nua|y kien|ghi nhan|luc dau|danh gia|co dung|nguoi truc|"
-    "nguoi benh|nguoi giam|so voi|hoi ky|khong loai|can lam|ro rang|ban giao|da trao|da dan|da bao|chua co|cho y|hen kham|ho so|ban ghi|"
-    "so phieu|ma to|kali |nhiet do|bach cau|truyen dich|tong cong|thang diem|het cao|may bom|mau so|hop lai|xem them|lo thuoc|bom phien|"
-    "ai ky|nhom ghi|de nghi|phieu |ca cua|theo ts|neu |vi |sao |luc |ngay |hom |lieu cu|ths.|ktv.|bs.|ph |cho |toi truc|thu tra|lien he|"
-    "chieu nay|hien o|don do|ho va ten|gui ban|con gai|ho chieu|truoc day|so cu|the bhyt|giay to|goi so|dia chi|chuyen phat|cccd |zalo |nhan |"
-    "who will|who signed|the |meet in|see form|please |nothing else|pump |potassium |temperature |lactate |because of|filed under|we noted|"
-    "compared with|hand-over |in round|per form|as in|on balance|according to|is |rated |on |since |at |form |sheet |next of|mail the|"
-    "reply bounced|family contact|lives at|parcel goes|old no|seen by|passport |gave |sample no|dr.|prof.|"
-    "der |thema war|seit |siehe |kontrolle |zweimal |sonst nichts|temperatur |abgelegt |am |ist |bogen |wohnhaft |befund bitte|ausweis |frau |"
-    "faut-il|le |a revoir|on donne|rien d'autre|voir le|l'equipe|on note|la valeur|de plus|selon la|comme a|classe sous|envoyer |fiche |"
-    "adresse |vu avec".split("|")
-)
-_THAI_OPENS = tuple(
-    "เอกสาร เก็บไว้ ดูใบ ยังต้อง ตามบันทึก จากการส่งเวร ผู้ป่วย พบ อุณหภูมิ วันที่ คะแนน ทีมเวร ให้ ไม่มีอะไร ส่งผล นัดตรวจ ติดต่อ บัตรเลข ที่อยู่ สรุป".split()
-)
-#: A mark, then a word that opens sentences, in lower case.
-_LOW_OPEN = re.compile(r"[a-z]{2}[.!?] (?:" + "|".join(x for x in _OPENS if " " in x.strip()) + r")\b")
-#: Thai words that go on after a number, and those a sentence can't end before.
+# Thai words that go on after a number, and units that end in a point.
 _THAI_GOES_ON = ("วัน", "องศา", "ครั้ง", "และ", "น.", "มก", "หมู่", "ตำบล", "ตําบล", "ถนน", "เมือง", "ปี", "มล", "คน", "เดือน", "อำเภอ", "จังหวัด", "ชั่วโมง")
+_THAI_UNITS = ("มก.", "มล.", "มก", "กก.", "ซม.")
+#: Ordinals of German end in a point.
+_ORDINAL = re.compile(r"(?:^|[\s(])(?:am|im|vom|zum|beim|bis|ab|seit|der|die|das|den|dem|des|jeden?|jedem)[ \n]+\d{1,2}$", re.I)
 
+_ENDS = ".!?…।॥؟۔"
 _CLOSERS = "\"”’»」』)]}'›“"
 _CUT = re.compile(
-    r"(?P<mark>[.!?…]+|[。！？｡]+)(?P<close>(?:[  ]?»|[\"”’」』)\]}'“])*)(?P<gap>[ \t\n]*)|(?P<thai>(?<=[฀-๿0-9A-Za-z/%)])[ \n]+(?=[฀-๿]))"
-    r"|(?P<line>(?<![.!?…。！？ ])\n)|(?P<bare>(?<=[a-z0-9%)])[ \n](?=(?:nhu|rieng|tinh|theo|ro|lieu|bach|nhiet|truyen|mau|may|het|hen|xem|lo|bom|ai|chua|tong|thang|hop|ph|kali|cho|da|them|nguoi|ve|qua|y|so|ho|ban) ))"
+    rf"(?P<mark>[{_ENDS}]+|[。！？｡]+)(?P<close>(?:[  ]?»|[\"”’」』)\]}}'“])*)(?P<gap>[ \t\n]*)|(?P<thai>(?<=[฀-๿0-9A-Za-z/%)])[ \n]+(?=[฀-๿]))"
+    rf"|(?P<line>(?<![{_ENDS}。！？ ])\n)"
 )
-#: How generic sentences open; careless typing runs them on without a mark.
-_RUN_ON = re.compile(
-    r"(?:nhu da neu o|rieng lan \d|tinh tu ngay|theo so giao ban|ro rang |lieu cu la|bach cau \d|nhiet do \d|truyen dich toc|mau so \S*\d|may bom so|"
-    r"het cao |hen kham lai|xem them phieu|lo thuoc |bom phien ban|ai ky nhan|chua co gi thay|tong cong \d|thang diem|hop lai o|ph \d|kali \d|"
-    r"cho y kien hoi chan|da dan do|da bao cao|them nua|nguoi benh an ngu|ve phia nhom|qua phieu|y kien chung|so phieu |ho so luu|ban ghi \S*\d)"
-)
-_RUNS = re.compile(r"(?:\b(?:qua|thi|va|ve|la|nhung|khi|nen|cho|tu|voi|khac|lai|nhan|toi|thanh|vi|mat|trong|o)|[:,;(])$")
+_BARE = re.compile(r"(?<=[a-z0-9%)])[ \n](?=[a-z]{2})")
+#: Words and signs after which nothing opens without a mark.
+_HANGS = re.compile(r"(?:\b(?:qua|thi|va|ve|la|nhung|khi|nen|cho|tu|voi|khac|lai|nhan|toi|thanh|vi|mat|trong|o|the|a|of|and|to|der|die|und|de|la|le|et)|[:,;(])$")
 _ITEM = re.compile(r"[ \t]*[-+*•‣▪●○◦–—·][ \t]+\S")
 _NUMBERED = re.compile(r"[ \t]*(?:\d{1,3}\.|[IVX]{1,5}\.|[一二三四五六七八九十]{1,3}、)[ \t]*\S")
+_MARKER = re.compile(r"[ \t]*(?:[-+*•‣▪●○◦–—·][ \t]+|(?:\d{1,3}\.|[IVX]{1,5}\.|[一二三四五六七八九十]{1,3}、)[ \t]*)?")
 _BRACKET = re.compile(r"[ \t]*\[[^\]\n]*\][ \t]*$")
-_ENDED = re.compile(r"[.!?…。！？][\"”’»」』)\]'“ ]*$")
+_ENDED = re.compile(rf"[{_ENDS}。！？][\"”’»」』)\]'“ ]*$")
 _QUOTES = {"“": 1, "„": 1, "«": 1, "「": 1, "『": 1, "”": -1, "»": -1, "」": -1, "』": -1}
 #: Lines at least this long, with the next word, may have been wrapped.
 WRAP = 56
 
+#: Least times that words open lines, as a part of all lines and at all; least part of their places that are such.
+LEAST_PART, LEAST, OPENS = 2e-5, 3, 0.06
+#: Words in the middle of sentences in at most this part of their places open one even without a mark before them.
+RUNS_ON = 0.12
+
+_TOKEN = re.compile(r"[A-Za-z]+|\d+|[฀-๿]+|[぀-鿿]+")
+
+
+def _keys(s: str, at: int, limit: int) -> tuple[str, ...]:
+    """What the words at a place are counted as: the first two and the first, in lower case, numbers as 0."""
+    m = _TOKEN.match(s, at, limit)
+    if not m:
+        return ()
+    a = m[0]
+    c = a[0]
+    if c > "ÿ":
+        return (a[:6], a[:3]) if c < "຀" else (a[:2],)
+    a = "0" if c.isdigit() else a.lower()
+    end = m.end()
+    if end + 1 < limit and s[end] in " \n" and (b := _TOKEN.match(s, end + 1, limit)):
+        b = b[0]
+        two = f"{a} {'0' if b[0].isdigit() else b[:6].lower()}"
+        return (two,) if a == "0" else (two, a)
+    return (a,) if a != "0" else ()
+
+
+#: Kinds of places: a line's beginning in capitals or not, after a mark, after a word; an abbreviation's at a line's end and elsewhere.
+_UPPER, _LOWER, _MARKED, _PLAIN, _LAST, _DOTTED, _BEFORE_LOW = range(7)
+
+
+def counted(texts: Iterable[str]) -> Counter:
+    """Times of each (key, kind of place) in texts; the empty key counts lines."""
+    out: Counter = Counter()
+    dotted = re.compile(r"(?<![^\s(\"“„«'‘\[])([A-Za-z][A-Za-z.]{0,7})\.(?=([ \n]|$)([ \n]*.?))")
+    for text in texts:
+        s, _ = read(text)
+        before, at = "", 0
+        lines = s.split("\n")
+        for line, below in zip(lines, [*lines[1:], ""], strict=True):
+            bare = line.strip()
+            if bare:
+                end = at + len(line)
+                start = _MARKER.match(s, at, end).end()
+                sure = not before or start > at + 1 or before.endswith((":", "：")) or _ENDED.search(before) is not None
+                while start < end and s[start] in "\"“„«‘'([ ":
+                    start += 1
+                if sure and start < end:
+                    out["", _UPPER] += 1
+                    kind = _LOWER if s[start].islower() else _UPPER
+                    for k in _keys(s, start, end):
+                        out[k, kind] += 1
+                for m in _TOKEN.finditer(s, start + 1, end):
+                    i = m.start()
+                    p = s[i - 1]
+                    if p in " \t\"“„«‘'(" or m[0][0] > "⺀":
+                        j = i - 1
+                        while j > at and s[j] in " \t\"“„«‘'(":
+                            j -= 1
+                        kind = _MARKED if s[j] in ".!?…。！？」”" else _PLAIN
+                        for k in _keys(s, i, end):
+                            out[k, kind] += 1
+                last = not below.strip() or _ITEM.match(below) is not None
+                for m in dotted.finditer(line):
+                    if m[3] or last:
+                        out[m[1].lower() + ".", _LAST if not m[3] else _BEFORE_LOW if m[3].strip()[:1].islower() else _DOTTED] += 1
+            before = bare
+            at += len(line) + 1
+    return out
+
+
+@dataclass
+class Openings:
+    """Words that open sentences, and abbreviations, as the counts of a corpus show them."""
+
+    #: Of each kept key: times at a line's beginning in capitals, and not, after a mark, after a word, and so on.
+    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, counts: dict[tuple[str, int], int]) -> Openings:
+        lines = counts.get(("", _UPPER), 0)
+        table: dict[str, list[int]] = {}
+        for (key, kind), n in counts.items():
+            if key:
+                table.setdefault(key, [0] * 7)[kind] += n
+        least = max(LEAST, LEAST_PART * lines)
+        return cls({k: tuple(x) for k, x in table.items() if x[_UPPER] + x[_LOWER] >= least or sum(x[_LAST:]) >= least})
+
+    def opens(self, s: str, at: int, most: float = 1.0) -> bool:
+        """Whether sentences open like this; with at most this part of such places after a word."""
+        for k in _keys(s, at, min(len(s), at + 48)):
+            if x := self.seen.get(k):
+                n = x[_UPPER] + x[_LOWER]
+                if n + x[_MARKED] + x[_PLAIN]:
+                    return n >= OPENS * (n + x[_MARKED] + x[_PLAIN]) and x[_PLAIN] <= most * (n + x[_MARKED] + x[_PLAIN])
+        return False
+
+    def is_capital(self, s: str, at: int) -> bool:
+        """Whether what stands here opens lines, and nearly always with a capital."""
+        for k in _keys(s, at, min(len(s), at + 48)):
+            if x := self.seen.get(k):
+                return x[_UPPER] >= 3 * x[_LOWER] and x[_UPPER] > 2 and self.opens(s, at)
+        return False
+
+    def ends(self, word: str) -> float | None:
+        """Part of an abbreviation's places that are at a line's end; None if it wasn't met often enough."""
+        x = self.seen.get(word + ".")
+        return x[_LAST] / sum(x[_LAST:]) if x and sum(x[_LAST:]) else None
+
+    def is_short(self, word: str) -> bool:
+        """Whether a word with a point goes on in lower case so often that it must be an abbreviation."""
+        x = self.seen.get(word + ".")
+        return bool(x) and x[_BEFORE_LOW] > 0.5 * sum(x[_LAST:])
+
 
 def _is_heading(line: str) -> bool:
     s = line.strip()
@@ -108,8 +213,7 @@ def blocks(s: str) -> Iterator[tuple[int, int, bool]]:
             marked = (_ITEM.match(line) or _is_heading(line)) and not runs_on
             own = marked or _is_heading(before) and not _NUMBERED.match(before) or item and _is_heading(before)
             # Items and lines of a form aren't wrapped.
-            label = r"[ \t]*(?:Dia chi|Lien he|Ho va ten|The BHYT|CCCD)" if broken else r"[ \t]*[^\s:][^:.!?]{1,24}:[ \t]?\S"
-            form = word[:1].isupper() and re.match(rf"{label}|[ \t]*[A-Z]\w+(?: [A-Z]\w+){{1,3}} - ", before)
+            form = word[:1].isupper() and re.match(r"[ \t]*[^\s:][^:.!?]{1,24}:[ \t]?\S|[ \t]*[A-Z]\w+(?: [A-Z]\w+){1,3} - ", before)
             if own or item or not ended and (form or not wrapped):
                 yield start, lines[k - 1][0] + len(before), item
                 start = None
@@ -119,112 +223,140 @@ def blocks(s: str) -> Iterator[tuple[int, int, bool]]:
         yield start, len(s), item
 
 
-def is_careless(s: str, parts: list[tuple[int, int, bool]]) -> bool:
-    """Whether sentences of the text open in lower case, as seen where they open for sure."""
-    if _LOW_OPEN.search(s):
-        return True
+def is_careless(s: str, parts: list[tuple[int, int, bool]], known: Openings) -> bool:
+    """Whether sentences of the text open in lower case: where they open for sure, or with words that open with capitals."""
+    for m in _LOW.finditer(s):
+        if known.is_capital(s, m.end()):
+            return True
+        # Without counts, an ordinary word with a point before one in lower case says the same.
+        if not known.seen and m[0][-2] == "." and (left := _LEFT.search(s[max(0, m.end() - 26) : m.end() - 2])[0].lower()).isalpha() and left not in _LEAD | _MAY_END:
+            return True
     low = high = 0
     for b, e, _ in parts:
-        m = re.search(r"[A-Za-z]", s[b : min(e, b + 12)])
-        if m and not re.match(r"[a-z]+(?:ine|ide|ate|trin|lol|drol|zar|zone|vir|ime)\b", s[b + m.start() : b + m.start() + 30]):
-            if m[0].islower():
-                low += 1
-            else:
-                high += 1
-    return low > 0 and low >= high
+        m = _LETTER.search(s, b, min(e, b + 12))
+        if not m:
+            continue
+        if not m[0].islower():
+            high += 1
+        elif not known.seen or known.is_capital(s, m.start()):
+            low += 1
+    return low > 0 and (bool(known.seen) or low >= high)
+
+
+_LOW, _LETTER = re.compile(rf"[a-z0-9)%]{{2}}[{_ENDS}] (?=[a-z]{{2}})"), re.compile("[A-Za-z]")
+
+
+def _closing(s: str, m: re.Match, left: str, known: Openings) -> float:
+    """How well a word with a mark after it closes a sentence; the mark is in the Latin manner, a blank follows."""
+    mark, at = m["mark"], m.start()
+    if mark[0] == "…" or mark.startswith(".."):
+        return 1.0
+    if mark[0] != ".":
+        return 2.0
+    if s[at - 1 : at] in (" ", ""):
+        return -8.0
+    if m["close"]:
+        return 1.0
+    if left in _FOR_NUMBERS and s[m.end()].islower():
+        return 1.5
+    if len(left) == 1 and left.isalpha() or left in _LEAD or left in _MAY_END or known.is_short(left):
+        part = known.ends(left)
+        if part is None:
+            return -1.0 if left in _MAY_END else -8.0
+        return -1.0 if part >= 0.04 else -8.0
+    if _ORDINAL.search(s, max(0, at - 12), at):
+        return -8.0
+    return 1.0 if left[-1:].isdigit() else 1.5
+
+
+def _opening(s: str, at: int, mark: str, close: str, careless: bool, known: Openings) -> float:
+    """How well what stands here opens a sentence, after a mark and a blank."""
+    first = s[at]
+    if first in ",;:)":
+        return -8.0
+    opens = known.opens(s, at + (first in "\"“„«‘'[(" and at + 1 < len(s)))
+    upper = first.isupper() or first in "\"“„«‘'[(•"
+    soft = mark[0] == "…" or mark.startswith("..")
+    if upper:
+        return 1.0 if first == "(" and soft and not opens else 3.0 if opens else 2.0
+    if first.isdigit() or first in "+-":
+        return 2.0 if opens or mark[0] in "!?" else 0.0 if careless else -0.5
+    if first.islower():
+        if opens:
+            return 1.5 if not close.strip(" )]") or careless else -5.0
+        return -0.5 if careless and not soft and not close else -6.0
+    return 1.0
 
 
-def _boundary(s: str, m: re.Match, careless: bool, begin: int) -> float:
+def _boundary(s: str, m: re.Match, careless: bool, begin: int, known: Openings) -> float:
     """How well a candidate closes one sentence and opens the next."""
     after = m.end()
-    nxt = s[after : after + 40]
-    low = nxt.lower()
+    nxt = s[after : after + 24]
     if m["thai"] is not None:
-        prev = s[max(begin, m.start() - 30) : m.start()]
-        if prev.endswith(("มก.", "มล.", "มก")) or low.startswith(_THAI_GOES_ON) and not low.startswith("วันที่"):
+        prev = s[max(begin, m.start() - 3) : m.start()]
+        if prev.endswith(_THAI_UNITS) or nxt.startswith(_THAI_GOES_ON) and not nxt.startswith("วันที่"):
             return -5.0
         last = prev[-1:]
-        opens = low.startswith(_THAI_OPENS)
+        opens = known.opens(s, after)
         if "฀" <= last <= "๿":
             return 3.0 if opens else 2.0
         return 3.0 if opens else 0.5 if last.isdigit() or last in "/-)" or last.isalpha() else -1.0
     if m["line"] is not None:  # a wrapped line without a mark
-        thai = "฀" <= nxt[:1] <= "๿"
-        return 1.0 if thai and low.startswith(_THAI_OPENS) else -6.0
-    if m["bare"] is not None:
-        run_on = careless and _RUN_ON.match(low) and not _RUNS.search(s[max(begin, m.start() - 12) : m.start()].lower())
-        return 2.0 if run_on else -6.0
+        return 1.0 if "฀" <= nxt[:1] <= "๿" and known.opens(s, after) else -6.0
     mark, close, gap = m["mark"], m["close"], m["gap"]
     if not nxt:
         return 0.0
     first = nxt[0]
     if mark[0] in "。！？｡":
-        return (-6.0 if nxt.startswith(_GOES_ON) else 0.5 if not gap and not nxt.startswith(("另外", "据", "第", "なお")) else 3.0) if close else 5.0
+        if not close:
+            return 5.0
+        return -6.0 if nxt.startswith(_GOES_ON) else 0.5 if not gap and not known.opens(s, after) else 3.0
     here = s[m.start() - 1 : m.start()]
     cjk = "぀" <= first <= "鿿" or "぀" <= here <= "鿿" and mark[0] in "!?" and not gap
     if cjk or (first in "「『“" and mark[0] in "!?" and not gap):
         if nxt.startswith(_GOES_ON):
             return -6.0
         return (0.0 if close else 4.5) if mark[0] in "!?" else -3.0
+    if mark[0] in "।॥؟۔":
+        return 4.0
     if "฀" <= first <= "๿":
-        return 4.0 if mark[0] in "!?" else 2.5 if s[max(0, m.start() - 2) : m.start()] in (" น", "น") or low.startswith(_THAI_OPENS) and not s[: m.start()].endswith("มก") else -2.0
-    opens = low.startswith(_OPENS) or re.match(r"\d{1,2} (?:phut|gio|min\.|hours) (?:sau|later)", low) is not None
-    left = re.search(r"[^\s(\"“„«'‘\[]*$", s[max(begin, m.start() - 24) : m.start()])[0].lower()
+        if mark[0] in "!?":
+            return 4.0
+        return 2.5 if s[max(0, m.start() - 2) : m.start()] in (" น", "น") or known.opens(s, after) and not s[: m.start()].endswith("มก") else -2.0
+    left = _LEFT.search(s[max(begin, m.start() - 24) : m.start()])[0].lower()
     if not gap:
-        if close or not first.isalpha() or mark != "." and mark[0] == ".":
-            return 3.0 if mark[0] in "!?" and first.isupper() and not close else -6.0
-        if mark[0] in "!?…":
-            return 3.0 if first.isupper() or opens else -4.0
-        if left == "v.v" and first.isupper():
-            return 3.0
-        word = re.search(r".[a-z]$|\d$|[)%]$", left)
-        if opens and left in _MAY_END and low.startswith(_OPENS):
-            return 2.0
-        known = left in _LEAD | _TITLE_END | _MAY_END or "@" in left or "[at]" in left or re.search(r"(?:^|\.)v$", left)
-        if known or not word or "@" in re.match(r"\S*", nxt)[0]:
-            return -6.0
-        if opens and (re.match(r"[a-z]+ ", low) or first.isupper()):
-            return 3.0
-        return 1.5 if first.isupper() and re.match(r"[A-Z][a-z]*[ ,.]", nxt) and re.search(r".[a-z]$|[)%]$", left) else -6.0
-    upper = first.isupper() or first in "\"“„«‘'[(•"
-    if first in ",;:)" or mark == "." and s[m.start() - 1 : m.start()] in (" ", ""):
+        return _joined(s, m, left, first, careless, known)
+    if mark[0] in "!?" and not first.isalpha() and first not in "\"“„«‘'[(•0123456789":
+        return -4.0
+    return _closing(s, m, left, known) + _opening(s, after, mark, close, careless, known)
+
+
+_LEFT = re.compile(r"[^\s(\"“„«'‘\[]*$")
+
+
+def _joined(s: str, m: re.Match, left: str, first: str, careless: bool, known: Openings) -> float:
+    """A mark in the Latin manner with no blank after it."""
+    mark, close, after = m["mark"], m["close"], m.end()
+    if close or not first.isalpha() or mark != "." and mark[0] == ".":
+        return 3.0 if mark[0] in "!?" and first.isupper() and not close else -6.0
+    opens = known.opens(s, after)
+    if mark[0] in "!?…":
+        return 3.0 if first.isupper() or opens else -4.0
+    part = known.ends(left)
+    if left in _MAY_END and (part is None or part >= 0.04):
+        return 2.0 if first.isupper() or opens else -6.0
+    if left in _LEAD or left in _MAY_END or "@" in left or "[at]" in left or left.endswith(".v") or left == "v" or "@" in re.match(r"\S*", s[after : after + 40])[0]:
         return -6.0
-    if mark[0] == "…" or mark.startswith(".."):
-        return 3.0 if upper and (first not in "(" or opens) else 2.0 if opens else -3.0
-    if mark[0] in "!?":
-        if upper or first.isdigit():
-            return 4.0
-        return (3.0 if not close else -1.0) if opens else -4.0 if close or not careless else 1.0
-    if close and close.strip(" )]") and first.islower():
-        return 1.0 if opens and careless else -4.0
-    if re.fullmatch(r"[a-z]", left) and not close:
-        return 3.0 if opens and upper else -6.0
-    if left in _LEAD:
-        # Some are words of their own in Vietnamese.
-        return 3.0 if left in ("no", "u", "s", "p") and opens and upper else -6.0
-    if left in _TITLE_END:
-        return 2.0 if left == "gs" and (upper or opens or first.isdigit() and opens) else 1.0 if opens and upper else -5.0
-    if left in _MAY_END:
-        if left == "min" and (first.islower() or re.match(r"gemessen|later", low)):
-            return -5.0
-        return 3.0 if (upper or first.isdigit() and opens) else 2.0 if opens else -4.0
-    if re.fullmatch(r"\d{1,2}", left) and re.match(r"Tag\b|Mal\b|Woche", nxt):
+    if not re.search(r".[a-z]$|\d$|[)%]$", left) or re.search(r"\.[a-z]$", left):
         return -6.0
-    if upper:
-        return 4.0
-    if first.isdigit() or first in "+-":
-        return 3.0 if opens else 1.0 if careless or not left.isdigit() else -1.0
-    if first.islower():
-        if opens:
-            return 3.0
-        if re.search(r"\d$", left):
-            return 1.0 if careless else -3.0
-        return 2.0 if careless else -3.0
-    return 2.0
+    # Two words stand for a sentence; one may be the end of an address or a number.
+    if opens and (first.isupper() or careless and re.match(r"[a-z]+ ", s[after : after + 24])):
+        return 3.0
+    return 1.5 if first.isupper() and re.match(r"[A-Z][A-Za-z]*[ ,.]", s[after : after + 24]) and re.search(r".[a-z]$|[)%]$", left) else -6.0
 
 
-#: Ends that need more: a date that something was found on, a given name without a family name.
-_UNFINISHED = re.compile(r"(?:^| )(?:(?:ตามบันทึก|จากการส่งเวร)?วันที่ |ผู้ป่วยชื่อ)\S+$")
+#: Thai ends that need more: a date that something was found on, a given name without a family name.
+_UNFINISHED = re.compile(r"(?:^|[ ])(?:(?:(?:ตาม|จาก|ใน|เมื่อ|หลัง|ก่อน|ตั้งแต่)[฀-๿]*)?วันที่ |[฀-๿]*ชื่อ)\S+$")
 
 
 _QUOTED, _THAI = re.compile('[“„«「『”»」』"]'), re.compile("[฀-๿]")
@@ -272,17 +404,17 @@ def _quotations(s: str, b: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
-def split(text: str) -> list[tuple[int, int]]:
+def split(text: str, known: Openings = Openings()) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, in code points, half-open."""
-    return [(b, e) for b, e, _ in split_shown(text)]
+    return [(b, e) for b, e, _ in split_shown(text, known)]
 
 
-def split_shown(text: str) -> list[tuple[int, int, str]]:
+def split_shown(text: str, known: Openings = Openings()) -> list[tuple[int, int, str]]:
     """(start, end, sentence as read) of the sentences of a text."""
     s, places = read(text)
     out: list[tuple[int, int]] = []
     parts = list(blocks(s))
-    careless = is_careless(s, parts)
+    careless = is_careless(s, parts, known)
     for begin, end, whole in parts:
         cuts: list[tuple[int, float]] = []
         if not whole:
@@ -290,9 +422,15 @@ def split_shown(text: str) -> list[tuple[int, int, str]]:
                 at = m.end() if m["mark"] is None else m.end() - len(m["gap"])
                 if at >= end or not s[at:end].strip():
                     continue
-                x = _boundary(s, m, careless, begin)
+                x = _boundary(s, m, careless, begin, known)
                 if x > -5:
                     cuts.append((at, x))
+            if careless:
+                at = {x for x, _ in cuts}
+                for m in _BARE.finditer(s, begin, end):
+                    if m.end() not in at and known.opens(s, m.end(), RUNS_ON) and not _HANGS.search(s[max(begin, m.start() - 12) : m.start()].lower()):
+                        cuts.append((m.end(), 1.0))
+                cuts.sort()
         # best[j]: best score of a cut of everything before candidate j; a cut's own score counts once.
         quoted, thai = _QUOTED.search(s, begin, end) is not None, _THAI.search(s, begin, end) is not None
         if quoted and cuts:
@@ -343,17 +481,52 @@ def _located(text: str, places: Sequence[int], spans: list[tuple[int, int]]) ->
     return out
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for i in range(0, len(b), 1000):
-            part = b.iloc[i : i + 1000]
-            made = [(k, x, y) for k, t in zip(part["k"], part["t"], strict=True) if isinstance(t, str) for x, y in split(t)]
-            if made:
-                yield pd.DataFrame(made, columns=["k", "start_pos", "end_pos"])
+#: Keys counted in a task before they are passed on.
+HELD = 500_000
+
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frame(held: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(k, kind, n) for (k, kind), n in held.items()], columns=["word", "kind", "n"])
+
+    held: Counter = Counter()
+    for b in batches:
+        held.update(counted(t for t in b["t"] if isinstance(t, str)))
+        if len(held) > HELD:
+            yield frame(held)
+            held.clear()
+    if held:
+        yield frame(held)
+
+
+def fit(df: DataFrame, text: str) -> Openings:
+    """Openings of all texts of a table. What is kept is in a fixed part of all lines, so it doesn't grow with the table."""
+    made = spread(df.select(F.col(text).alias("t"))).mapInPandas(_counts, "word string, kind int, n bigint")
+    made = cut(made.groupBy("word", "kind").agg(F.sum("n").alias("n")))
+    lines = made.filter("word = ''").agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST, LEAST_PART * lines)
+    often = made.filter("word <> ''").groupBy("word").agg(
+        F.sum(F.when(F.col("kind") <= _LOWER, F.col("n"))).alias("opening"), F.sum(F.when(F.col("kind") >= _LAST, F.col("n"))).alias("dotted")
+    )
+    often = often.filter((F.col("opening") >= least) | (F.col("dotted") >= least)).select("word")
+    table = made.join(often, "word", "left_semi").toArrow()
+    counts = dict(zip(zip(table["word"].to_pylist(), table["kind"].to_pylist(), strict=True), table["n"].to_pylist(), strict=True))
+    return Openings.of(counts | {("", _UPPER): lines})
+
+
+def sentences(df: DataFrame, key: str, text: str, known: Openings | None = None) -> DataFrame:
+    """key, start_pos, end_pos: one row per sentence; openings are learned from the table itself where none are given."""
+    shared = df.sparkSession.sparkContext.broadcast(fit(df, text) if known is None else known)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                part = b.iloc[i : i + 1000]
+                made = [(k, x, y) for k, t in zip(part["k"], part["t"], strict=True) if isinstance(t, str) for x, y in split(t, known)]
+                if made:
+                    yield pd.DataFrame(made, columns=["k", "start_pos", "end_pos"])
 
-def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, start_pos, end_pos: one row per sentence."""
     src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     kind = dict(df.dtypes)[key]
-    return src.mapInPandas(_rows, f"k {kind}, start_pos bigint, end_pos bigint").withColumnRenamed("k", key)
+    return src.mapInPandas(rows, f"k {kind}, start_pos bigint, end_pos bigint").withColumnRenamed("k", key)

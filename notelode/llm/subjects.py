@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.sentences import split_shown
+from notelode.llm.sentences import fit, split_shown
 from notelode.session import cut, spread
 
 RANK, TURNS, ROUNDS = 160, 3, 3
@@ -106,13 +106,24 @@ def _nested(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _analysed(openings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Languages and terms of each sentence; openings is the shared table of how sentences open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = openings.value
+        for b in batches:
+            yield from _sentences(b, known)
+
+    return run
+
+
+def _sentences(b: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:
+    if b.num_rows:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
             sentences, langs, sizes, numbers = [], [], [], []
             for t in part.column(1).to_pylist():
-                parts = split_shown(t) if t else []
+                parts = split_shown(t, known) if t else []
                 own = [language(shown, t[x:y]) for x, y, shown in parts]
                 # A sentence that doesn't tell is in the language of most others that are written in Latin letters.
                 votes = np.bincount([x for x in own if 0 <= x < 4] or [0], minlength=4)
@@ -306,7 +317,8 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     digest = F.unhex(F.md5("t")).alias("h")
     texts = src.filter("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("copies")).select(digest, "t", "copies")
     shape = "h binary, copies bigint, langs array<int>, terms array<array<{}>>"
-    read = cut(texts.mapInArrow(_analysed, shape.format("bigint")))
+    openings = spark.sparkContext.broadcast(fit(src, "t"))
+    read = cut(texts.mapInArrow(_analysed(openings), shape.format("bigint")))
     keys = src.filter("t IS NOT NULL").select("k", digest)
     nl, na = len(LANGUAGES), len(names)
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from notelode.llm.sentences import sentences, split
+from notelode.llm.sentences import Openings, counted, fit, sentences, split
 
 CASES = [
     ("Theo BS. trực, mạch 82. Bàn giao: ho, sốt, v.v. Đã dặn dò kỹ!", 3),
@@ -47,10 +47,41 @@ def test_many_ends_that_are_none():
     assert split(text) == [(0, len(text))]
 
 
+OTHERS = [
+    ("Tôi đi chợ mua cá. mẹ tôi nấu cơm. trời mưa to.", 3),
+    ("Mr. Smith met Rev. Jones. Gen. Lee left.", 2),
+    ("He works at I.B.M. in N.Y. It is 3.5 km away. He paid $4.50.", 3),
+    ("Am 6. Tag kam er. Z. B. mit Fieber.", 2),
+    ("यह एक वाक्य है। यह दूसरा है।", 2),
+    ("هل أنت بخير؟ نعم أنا بخير.", 2),
+]
+
+
+@pytest.mark.parametrize(("text", "n"), OTHERS)
+def test_texts_of_other_kinds(text, n):
+    assert len(split(text)) == n, [text[b:e] for b, e in split(text)]
+
+
+def test_openings_are_learned_without_labels():
+    starts = ["Gọi lại", "Mời ông", "Xin bà"]
+    texts = [f"- {starts[i % 3]} vào ngày {i}. {starts[(i + 1) % 3]} ra ngày {i}, xem thêm abb. {i} bên dưới" for i in range(60)]
+    known = Openings.of(counted(texts))
+    careless = "gọi lại lúc chiều mời ông sang ngay. xin bà chờ"
+    assert [careless[b:e] for b, e in split(careless, known)] == ["gọi lại lúc chiều", "mời ông sang ngay.", "xin bà chờ"]
+    assert len(split(careless)) < 3
+
+
+def test_counts_of_parts_add_up(spark):
+    texts = [f"- Gọi lại ngày {i}. Mời ông v.v. Xin bà" for i in range(30)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", " "]], "t string")
+    assert fit(df, "t") == Openings.of(counted(texts))
+    assert fit(df.limit(0), "t") == Openings()
+
+
 @pytest.mark.parametrize(("a", "b"), ["“”", "«»", '""', "„“"])
-@pytest.mark.parametrize("n", [2, 4, 7])
+@pytest.mark.parametrize("n", [2, 4, 7, 40])
 def test_quoted_speech_stays_whole(a, b, n):
-    said = ". ".join(["Tôi đau ngực", "Tôi khó thở", "Tôi ngủ kém", "Tôi ăn ít", "Tôi sốt cao", "Tôi ho khan", "Tôi mệt lắm"][:n])
+    said = ". ".join(["Tôi đau ngực", "Tôi khó thở", "Tôi ngủ kém", "Tôi ăn ít", "Tôi sốt cao", "Tôi ho khan", "Tôi mệt lắm"][i % 7] for i in range(n))
     text = f"Bà kể: {a}{said}.{b} Đã khám. Đã dặn."
     assert [text[x:y] for x, y in split(text)] == [f"Bà kể: {a}{said}.{b}", "Đã khám.", "Đã dặn."]
 
