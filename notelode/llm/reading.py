@@ -35,16 +35,20 @@ class _Table(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code)
         self[code] = x = c if c in "\n\t" else "".join(map(_bared, _shown(c)))
+        if len(x) != 1:
+            _ODD.add(c)
         return x
 
 
 _TABLE = _Table()
+#: Characters met so far that don't read as one character.
+_ODD: set[str] = set()
 
 
 def read(text: str) -> tuple[str, Sequence[int]]:
     """The text as read, Latin letters without marks, and the place in text of each of its characters."""
     shown = text.translate(_TABLE)
-    if all(len(_TABLE[ord(c)]) == 1 for c in set(text)):
+    if _ODD.isdisjoint(text):
         return shown, range(len(text))
     places: list[int] = []
     for i, c in enumerate(text):

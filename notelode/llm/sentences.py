@@ -92,43 +92,94 @@ def _keys(s: str, at: int, limit: int) -> tuple[str, ...]:
 _UPPER, _LOWER, _MARKED, _PLAIN, _LAST, _DOTTED, _BEFORE_LOW = range(7)
 
 
+class _Kinds(dict):
+    """What stands between two words: the kind of place behind it, and what a point in it says; found out once for each."""
+
+    def __missing__(self, gap: str) -> tuple[int, int]:
+        before, _, below = gap.partition("\n")
+        place, point = -1, -1
+        if below or "\n" in gap:
+            last = "\n" + below.rpartition("\n")[2]
+            apart = "\n" in below.strip(" \t") and not below.replace("\n", "").strip() or re.search(r"\n[ \t]*\n", gap) is not None
+            item = _ITEM.match(last[1:] + "x") is not None
+            sure = apart or item or _ENDED.search(before) is not None or before.rstrip().endswith((":", "："))
+            place = _UPPER if sure else _PLAIN
+            point = _LAST if before.startswith(".") and (apart or item) else -1
+        else:
+            bare = gap.rstrip(" \t\"“„«‘'(")
+            if bare != gap or not gap:
+                place = _MARKED if bare[-1:] and bare[-1] in ".!?…。！？」”" else _PLAIN
+            elif gap[-1] in "。！？」”、，：；":
+                place = _MARKED if gap[-1] in "。！？」”" else _PLAIN
+            if gap.startswith(". "):
+                point = _DOTTED
+        self[gap] = place, point
+        return self[gap]
+
+
+_KINDS = _Kinds()
+_WORDS = re.compile(r"([A-Za-z]+|\d+|[฀-๿]+|[぀-鿿]+)")
+
+
 def counted(texts: Iterable[str]) -> Counter:
     """Times of each (key, kind of place) in texts; the empty key counts lines."""
+    found: list[list[str]] = [[] for _ in range(7)]
     out: Counter = Counter()
-    dotted = re.compile(r"(?<![^\s(\"“„«'‘\[])([A-Za-z][A-Za-z.]{0,7})\.(?=([ \n]|$)([ \n]*.?))")
+    opened = 0
+
+    def flush() -> None:
+        for kind, keys in enumerate(found):
+            for k, n in Counter(keys).items():
+                out[k, kind] += n
+            keys.clear()
+
     for text in texts:
         s, _ = read(text)
-        before, at = "", 0
-        lines = s.split("\n")
-        for line, below in zip(lines, [*lines[1:], ""], strict=True):
-            bare = line.strip()
-            if bare:
-                end = at + len(line)
-                start = _MARKER.match(s, at, end).end()
-                sure = not before or start > at + 1 or before.endswith((":", "：")) or _ENDED.search(before) is not None
-                while start < end and s[start] in "\"“„«‘'([ ":
-                    start += 1
-                if sure and start < end:
-                    out["", _UPPER] += 1
-                    kind = _LOWER if s[start].islower() else _UPPER
-                    for k in _keys(s, start, end):
-                        out[k, kind] += 1
-                for m in _TOKEN.finditer(s, start + 1, end):
-                    i = m.start()
-                    p = s[i - 1]
-                    if p in " \t\"“„«‘'(" or m[0][0] > "⺀":
-                        j = i - 1
-                        while j > at and s[j] in " \t\"“„«‘'(":
-                            j -= 1
-                        kind = _MARKED if s[j] in ".!?…。！？」”" else _PLAIN
-                        for k in _keys(s, i, end):
-                            out[k, kind] += 1
-                last = not below.strip() or _ITEM.match(below) is not None
-                for m in dotted.finditer(line):
-                    if m[3] or last:
-                        out[m[1].lower() + ".", _LAST if not m[3] else _BEFORE_LOW if m[3].strip()[:1].islower() else _DOTTED] += 1
-            before = bare
-            at += len(line) + 1
+        parts = _WORDS.split(s)
+        if len(parts) < 2:
+            continue
+        gaps = [_KINDS[x] if len(x) < 16 else _Kinds.__missing__({}, x) for x in parts[::2]]
+        words = parts[1::2]
+        gaps[0] = _UPPER, -1
+        last = parts[-1]
+        n = len(words)
+        low = [w.lower() if w[0] > "9" else "0" for w in words]
+        tight = [x == " " or x == "\n" for x in parts[2:-1:2]]
+        for i, word in enumerate(words):
+            kind, c = gaps[i][0], word[0]
+            if kind >= 0:
+                if kind == _UPPER:
+                    opened += 1
+                    if c.islower():
+                        kind = _LOWER
+                put = found[kind]
+                if c > "ÿ":
+                    put += (word[:6], word[:3]) if c < "຀" else (word[:2],)
+                else:
+                    a = low[i]
+                    if i + 1 < n and tight[i]:
+                        put.append(a + " " + low[i + 1][:6])
+                    if a != "0":
+                        put.append(a)
+            point = gaps[i + 1][1]
+            if point >= 0 and c > "9":
+                if i + 1 == n:
+                    continue
+                if point == _DOTTED and words[i + 1][0].islower():
+                    point = _BEFORE_LOW
+                a, k = low[i], i
+                while k and parts[2 * k] == "." and len(a) < 8 and words[k - 1].isalpha():
+                    k -= 1
+                    a = f"{low[k]}.{a}"
+                if len(a) <= 8 and (k == 0 or parts[2 * k][-1:] in " \n\t(\"“„«‘'["):
+                    found[point].append(a + ".")
+        if last.startswith(".") and words[-1].isalpha() and len(words[-1]) <= 8 and parts[-3][-1:] in ("", " ", "\n"):
+            found[_LAST].append(words[-1].lower() + ".")
+        if len(found[_PLAIN]) > 100_000:
+            flush()
+    flush()
+    if opened:
+        out["", _UPPER] = opened
     return out
 
 
@@ -437,6 +488,12 @@ def split_shown(text: str, known: Openings = Openings()) -> list[tuple[int, int,
             # A cut inside a quotation costs by itself, however many sentences are in it.
             inside = _quotations(s, begin, end)
             cuts = [(at, x - 5.0 * any(i < at <= j for i, j in inside)) for at, x in cuts]
+        elif not thai:
+            # No span has a score of its own unless it is very short or long, so every cut that isn't bad is in the best.
+            at = [begin, *(at for at, x in cuts if x >= 0), end]
+            if all(4 < y - x < 220 for x, y in zip(at, at[1:])):
+                out += _stripped(s, zip(at, at[1:]))
+                continue
         ends = [(begin, 0.0), *cuts, (end, 0.0)]
         # most[j]: the largest of best up to j.
         best, came, most = [0.0], [0], [0.0]
@@ -456,16 +513,21 @@ def split_shown(text: str, known: Openings = Openings()) -> list[tuple[int, int,
         while j > 0:
             found.append((ends[came[j]][0], ends[j][0]))
             j = came[j]
-        for b, e in reversed(found):
-            while b < e and s[b].isspace():
-                b += 1
-            while e > b and s[e - 1].isspace():
-                e -= 1
-            if b < e:
-                out.append((b, e))
+        out += _stripped(s, reversed(found))
     return [(b, e, s[x:y]) for (b, e), (x, y) in zip(_located(text, places, out), out, strict=True)]
 
 
+def _stripped(s: str, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans without their outer blanks."""
+    for b, e in spans:
+        while b < e and s[b].isspace():
+            b += 1
+        while e > b and s[e - 1].isspace():
+            e -= 1
+        if b < e:
+            yield b, e
+
+
 def _located(text: str, places: Sequence[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of the text as read, brought back; characters that read as nothing go with what stands before them."""
     out = []
