@@ -46,10 +46,10 @@ _ORDINAL = re.compile(r"(?:^|[\s(])(?:am|im|vom|zum|beim|bis|ab|seit|der|die|das
 
 _ENDS = ".!?…।॥؟۔"
 _CLOSERS = "\"”’»」』)]}'›“"
-_CUT = re.compile(
-    rf"(?P<mark>[{_ENDS}]+|[。！？｡]+)(?P<close>(?:[  ]?»|[\"”’」』)\]}}'“])*)(?P<gap>[ \t\n]*)|(?P<thai>(?<=[฀-๿0-9A-Za-z/%)])[ \n]+(?=[฀-๿]))"
-    rf"|(?P<line>(?<![{_ENDS}。！？ ])\n)"
-)
+_MARK = rf"(?P<mark>[{_ENDS}。！？｡]+)(?P<close>(?:[\u00a0 ]?»|[\"”’」』)\]}}'“])*)(?P<gap>[ \t\n]*)"
+#: Places where a sentence may end: in texts with Thai letters also blanks and line ends.
+_CUT = re.compile(_MARK)
+_THAI_CUT = re.compile(rf"{_MARK}|(?P<thai>(?<=[฀-๿0-9A-Za-z/%)])[ \n]+(?=[฀-๿]))|(?P<line>(?<![{_ENDS}。！？ ])\n)")
 _BARE = re.compile(r"(?<=[a-z0-9%)])[ \n](?=[a-z]{2})")
 #: Words and signs after which nothing opens without a mark.
 _HANGS = re.compile(r"(?:\b(?:qua|thi|va|ve|la|nhung|khi|nen|cho|tu|voi|khac|lai|nhan|toi|thanh|vi|mat|trong|o|the|a|of|and|to|der|die|und|de|la|le|et)|[:,;(])$")
@@ -343,7 +343,8 @@ def _boundary(s: str, m: re.Match, careless: bool, begin: int, known: Openings)
     """How well a candidate closes one sentence and opens the next."""
     after = m.end()
     nxt = s[after : after + 24]
-    if m["thai"] is not None:
+    groups = m.groupdict()
+    if groups.get("thai") is not None:
         prev = s[max(begin, m.start() - 3) : m.start()]
         if prev.endswith(_THAI_UNITS) or nxt.startswith(_THAI_GOES_ON) and not nxt.startswith("วันที่"):
             return -5.0
@@ -352,7 +353,7 @@ def _boundary(s: str, m: re.Match, careless: bool, begin: int, known: Openings)
         if "฀" <= last <= "๿":
             return 3.0 if opens else 2.0
         return 3.0 if opens else 0.5 if last.isdigit() or last in "/-)" or last.isalpha() else -1.0
-    if m["line"] is not None:  # a wrapped line without a mark
+    if groups.get("line") is not None:  # a wrapped line without a mark
         return 1.0 if "฀" <= nxt[:1] <= "๿" and known.opens(s, after) else -6.0
     mark, close, gap = m["mark"], m["close"], m["gap"]
     if not nxt:
@@ -468,14 +469,13 @@ def split_shown(text: str, known: Openings = Openings()) -> list[tuple[int, int,
     careless = is_careless(s, parts, known)
     for begin, end, whole in parts:
         cuts: list[tuple[int, float]] = []
+        quoted, thai = _QUOTED.search(s, begin, end) is not None, _THAI.search(s, begin, end) is not None
         if not whole:
-            for m in _CUT.finditer(s, begin, end):
+            for m in (_THAI_CUT if thai else _CUT).finditer(s, begin, end):
                 at = m.end() if m["mark"] is None else m.end() - len(m["gap"])
                 if at >= end or not s[at:end].strip():
                     continue
-                x = _boundary(s, m, careless, begin, known)
-                if x > -5:
-                    cuts.append((at, x))
+                cuts.append((at, _boundary(s, m, careless, begin, known)))
             if careless:
                 at = {x for x, _ in cuts}
                 for m in _BARE.finditer(s, begin, end):
@@ -483,7 +483,6 @@ def split_shown(text: str, known: Openings = Openings()) -> list[tuple[int, int,
                         cuts.append((m.end(), 1.0))
                 cuts.sort()
         # best[j]: best score of a cut of everything before candidate j; a cut's own score counts once.
-        quoted, thai = _QUOTED.search(s, begin, end) is not None, _THAI.search(s, begin, end) is not None
         if quoted and cuts:
             # A cut inside a quotation costs by itself, however many sentences are in it.
             inside = _quotations(s, begin, end)
