@@ -45,6 +45,8 @@ def any_of(terms: Iterable[str]) -> str:
         for ch in term:
             node = node.setdefault(ch, {})
         node[""] = {}
+    if not trie:
+        return "(?!)"
 
     def render(node: dict) -> str:
         branches = [escape(ch) + render(child) for ch, child in sorted(node.items()) if ch]
@@ -66,6 +68,32 @@ def marked_parts(line: Column, pattern: str, groups: int) -> Column:
     return F.split(F.regexp_replace(safe, pattern, shown), MARK, -1)
 
 
+#: Elements of an array that are gone through together.
+BLOCK = 32
+
+
+def running(numbers: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """op over the first 0, 1, .. n elements of an array of whole numbers; op is associative, zero its neutral element.
+
+    A fold that lengthens an array copies it at every step. Here no fold gives out more than a number: one over each
+    block, one over the blocks before, and one over what stands before an element in its block.
+    """
+    none = F.lit(zero)
+    whole = lambda xs: F.aggregate(xs, none, op)
+    upto = lambda n: F.sequence(F.lit(0), n)
+
+    def placed(v: Column, blocks: Column) -> Column:
+        inside = lambda i: whole(F.slice(v, i - i % BLOCK + 1, i % BLOCK))
+        return F.transform(upto(F.size(v)), lambda i: op(F.get(blocks, (i / BLOCK).cast("int")), inside(i)))
+
+    def before(v: Column) -> Column:
+        each = F.transform(upto((F.size(v) / BLOCK).cast("int")), lambda i: whole(F.slice(v, i * BLOCK + 1, BLOCK)))
+        sums = let(each, lambda s: F.transform(upto(F.size(s)), lambda i: whole(F.slice(s, 1, i))))
+        return let(sums, lambda blocks: placed(v, blocks))
+
+    return let(numbers, before)
+
+
 SPANS = "array<struct<s:int,e:int,groups:array<string>,ends:array<int>>>"
 
 
@@ -75,13 +103,8 @@ def spans(parts: Column, groups: int) -> Column:
 
     def found(parts: Column) -> Column:
         # Starting places of all parts by a running sum of lengths.
-        begun = F.aggregate(
-            parts,
-            F.array(F.lit(0)).cast("array<int>"),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
-        )
         return let(
-            begun,
+            running(F.transform(parts, F.length), lambda x, y: x + y, 0),
             lambda b: F.transform(
                 F.sequence(F.lit(1), F.size(parts) - 1, F.lit(period)),
                 lambda i: F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelode.functions.text import is_blank, let, strip
+from notelode.functions.text import is_blank, let, running, strip
 from notelode.patterns import HEADER, Patterns
 
 # Words that open or close a section.
@@ -53,32 +53,26 @@ def top_section(line: Column) -> Column:
 
 
 def with_state(text: Column, p: Patterns) -> Column:
-    """array<struct<no, start, line, historical>>: places and section state by one fold within the row, without a shuffle."""
-    lines = F.transform(
-        split_lines(text),
-        lambda x, i: F.struct(i.alias("no"), x.alias("line"), section_event(x, p).alias("event")),
-    )
-    kind = "struct<pos:int,hist:boolean,out:array<struct<no:int,start:int,line:string,historical:boolean>>>"
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hist"), F.array().alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
+    """array<struct<no, start, line, historical>>: lines with their places and section state, in the row, without a shuffle."""
+    rows = F.transform(split_lines(text), lambda x: F.struct(x.alias("line"), section_event(x, p).alias("event")))
+
+    def placed(rows: Column) -> Column:
+        # Twice the number of a line with an event, and one more if it opens a history; the largest up to a line decides.
+        events = F.transform(rows, lambda x, i: F.coalesce(2 * i + x["event"].cast("int"), F.lit(-1)))
+        starts = running(F.transform(rows, lambda x: F.length(x["line"]) + 1), lambda x, y: x + y, 0)
+        both = F.struct(starts.alias("starts"), running(events, lambda x, y: F.greatest(x, y), -1).alias("last"))
         return let(
-            F.coalesce(x["event"], acc["hist"]),
-            lambda hist: F.struct(
-                (acc["pos"] + F.length(x["line"]) + 1).alias("pos"),
-                hist.alias("hist"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            x["no"].alias("no"), acc["pos"].alias("start"), x["line"].alias("line"), hist.alias("historical")
-                        )
-                    ),
-                ).alias("out"),
-            ).cast(kind),
-        )
-
-    return F.aggregate(lines, zero, step)["out"]
+            both,
+            lambda v: F.transform(
+                rows,
+                lambda x, i: F.struct(
+                    i.alias("no"), F.get(v["starts"], i).alias("start"), x["line"].alias("line"),
+                    (F.get(v["last"], i + 1) % 2 == 1).alias("historical"),
+                ),
+            ),
+        )
+
+    return let(rows, placed)
 
 
 def exploded(notes: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:

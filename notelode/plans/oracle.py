@@ -46,6 +46,7 @@ def _free(alias: str, s: str, e: str, taken: str) -> str:
 
 
 def _chain(source: str) -> str:
+    # The forms of doses, and of lab names, links and values.
     amount = r"\p{Nd}+[.,]?\p{Nd}*"
     dose = (
         rf"(?:[,:]|{WS})*(?:{amount}(?:-{amount})?{WS}*(?:mg|mcg|g|ml|iu|units|unit|meq)\b(?:/(?:ml|mg|g))?|(?:mg|mcg|g|ml)\b"
@@ -129,6 +130,10 @@ def oracle() -> dict[str, str]:
         "concepts_union": "SELECT id AS doc_id, type, text, s, e, candidates, assertions FROM concepts",
         "concepts_sorted": "SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY s, e) - 1 AS rank, type, s, e FROM concepts",
         "concepts_per_doc": "SELECT n.id AS doc_id, coalesce(string_agg(type || '~' || s || '~' || c.text, '|' ORDER BY s, e), '') AS found FROM notes n LEFT JOIN concepts c ON c.id = n.id GROUP BY n.id",
+        "concepts_json": """SELECT n.id AS doc_id, '[' || coalesce(string_agg('{"text":' || to_json(c.text)::VARCHAR || ',"type":"' || type || '"'
+  || CASE WHEN candidates IS NULL THEN '' WHEN candidates = '' THEN ',"candidates":[]' ELSE ',"candidates":["' || replace(candidates, '|', '","') || '"]' END
+  || CASE WHEN assertions IS NULL THEN '' WHEN assertions = '' THEN ',"assertions":[]' ELSE ',"assertions":["' || replace(assertions, '|', '","') || '"]' END
+  || ',"position":[' || s || ',' || e || ']}', ',' ORDER BY s, e), '') || ']' AS json FROM notes n LEFT JOIN concepts c ON c.id = n.id GROUP BY n.id""",
         "concept_counts": "SELECT type, count(*) AS n, count(DISTINCT id) AS n_docs FROM concepts GROUP BY type",
     }
     ranked = f"SELECT *, CASE WHEN text IS NOT NULL AND record_id IS NOT NULL THEN row_number() OVER (PARTITION BY record_id, {newlines} ORDER BY written_at, file_id) ELSE 1 END AS rn FROM note_files"
@@ -137,6 +142,10 @@ def oracle() -> dict[str, str]:
         "newline_translation": f"SELECT file_id, length({newlines}) AS n, CASE WHEN text IS NOT NULL THEN len(string_split({newlines}, chr(10))) END AS n_lines FROM note_files",
         "file_order": "SELECT file_id, row_number() OVER (PARTITION BY ward ORDER BY try_cast(record_id AS DECIMAL(38, 0)), record_id, file_id) AS place FROM note_files",
         "file_concepts": files + "SELECT id AS file_id, type, text, s, e FROM concepts",
+        "streamed_concepts": files + "SELECT id AS file_id, type, text, s, e FROM concepts",
+        "lexicon_source": """SELECT DISTINCT 'drug' AS kind, lower(term) AS term, code AS codes FROM drug_lexicon
+UNION ALL SELECT DISTINCT 'diagnosis', lower(term), array_to_string(codes, '|') FROM diagnosis_lexicon
+UNION ALL SELECT DISTINCT 'symptom', lower(term), '' FROM symptom_lexicon UNION ALL SELECT DISTINCT 'lab', lower(abbr), '' FROM lab_lexicon""",
         "p6_found": f"SELECT file_id FROM ({ranked}) WHERE rn > 1",
         "p6_store": f"SELECT record_id, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM ({ranked}) WHERE rn = 1 GROUP BY record_id",
         "run_summary": "SELECT count(*) AS n_files, count(text) AS n_read FROM note_files",

@@ -19,26 +19,26 @@ CONCEPT = "struct<text:string,type:string,candidates:array<string>,assertions:ar
 def line_spans(line: Column, p: Patterns) -> Column:
     """struct<drugs, diagnoses, labs, symptoms>: matches of a line that hold after arbitration, layer by layer."""
 
-    def with_symptoms(drugs: Column, diagnoses: Column, labs: Column) -> Column:
-        taken = F.concat(arbitrate.places(drugs), arbitrate.places(diagnoses), arbitrate.pair_places(labs))
-        return F.struct(
-            drugs.alias("drugs"),
-            diagnoses.alias("diagnoses"),
-            labs.alias("labs"),
-            let(taken, lambda t: arbitrate.free(scan.symptom_matches(line, p), t)).alias("symptoms"),
-        )
-
-    def with_labs(drugs: Column, diagnoses: Column) -> Column:
-        taken = F.concat(arbitrate.places(drugs), arbitrate.places(diagnoses))
-        labs = let(taken, lambda t: arbitrate.free_pairs(scan.lab_matches(line, p), t))
-        return let(labs, lambda x: with_symptoms(drugs, diagnoses, x))
-
-    return let(
-        scan.drug_matches(line, p),
-        lambda drugs: let(
-            arbitrate.free(scan.diagnosis_matches(line, p), drugs), lambda diagnoses: with_labs(drugs, diagnoses)
-        ),
-    )
+    def kept(found: Column) -> Column:
+        drugs = found["drugs"]
+
+        def with_diagnoses(diagnoses: Column) -> Column:
+            taken = F.concat(arbitrate.places(drugs), arbitrate.places(diagnoses))
+            return let(let(taken, lambda t: arbitrate.free_pairs(found["labs"], t)), lambda labs: with_labs(diagnoses, labs))
+
+        def with_labs(diagnoses: Column, labs: Column) -> Column:
+            taken = F.concat(arbitrate.places(drugs), arbitrate.places(diagnoses), arbitrate.pair_places(labs))
+            symptoms = let(taken, lambda t: arbitrate.free(found["symptoms"], t))
+            return F.struct(drugs.alias("drugs"), diagnoses.alias("diagnoses"), labs.alias("labs"), symptoms.alias("symptoms"))
+
+        return let(arbitrate.free(found["diagnoses"], drugs), with_diagnoses)
+
+    # All four scans first, side by side: scans within scans would nest deeper than the analyzer goes.
+    scans = F.struct(
+        scan.drug_matches(line, p).alias("drugs"), scan.diagnosis_matches(line, p).alias("diagnoses"),
+        scan.lab_matches(line, p).alias("labs"), scan.symptom_matches(line, p).alias("symptoms"),
+    )
+    return let(scans, kept)
 
 
 def _concept(line: Column, start: Column, s: Column, e: Column, kind: str, candidates: Column, asserted: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from notelode.functions.text import is_blank
 from notelode.lexicon import DEFAULT
@@ -12,7 +11,10 @@ from notelode.operators import arbitrate, assertions, lines, scan
 from notelode.patterns import build
 from notelode.plans import pipeline
 from notelode.operators.compaction import compact
-from notelode.session import shared_dir, spread
+from notelode.operators.ordering import ranked
+from notelode.session import cut, shared_dir, spread
+from notelode.sources.lexicon import read_lexicon
+from notelode.streaming.extract import concept_stream, read_notes, write_stream
 from notelode.sources.files import numeric_order, record_id, universal_newlines
 
 P = build(DEFAULT)
@@ -149,25 +151,34 @@ def diagnosis_codes(spark, d):
 
 
 def overlap_antijoin(spark, d):
-    """Accepted spans by three anti joins on (record, line), the relational form of the in-row arbitration."""
+    """All scans in one pass over the lines, then layer by layer what meets nothing accepted before."""
     keys = ["doc_id", "line_no"]
     key = [F.col(k) for k in keys]
-    taken = _matches(spark, d, scan.drug_matches).select(*key, F.lit("drug").alias("kind"), "m.s", "m.e")
-    diagnoses = _matches(spark, d, scan.diagnosis_matches).select(*key, F.lit("diagnosis").alias("kind"), "m.s", "m.e")
-    taken = taken.unionByName(arbitrate.free_rows(diagnoses, taken, keys))
+    place = "array<struct<kind:string,s:int,e:int,vs:int,ve:int>>"
+
+    def placed(found: Column, kind: str) -> Column:
+        no = F.lit(None)
+        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e"), no.alias("vs"), no.alias("ve"))).cast(place)
+
+    def pairs(found: Column) -> Column:
+        ends = lambda m, i: m["ends"][i]
+        return F.transform(found, lambda m: F.struct(F.lit("lab"), ends(m, 0), ends(m, 1), ends(m, 2), ends(m, 3))).cast(place)
+
+    line = F.col("line")
+    found = F.concat(
+        placed(scan.drug_matches(line, P), "drug"), placed(scan.diagnosis_matches(line, P), "diagnosis"),
+        pairs(scan.lab_matches(line, P)), placed(scan.symptom_matches(line, P), "symptom"),
+    )
+    found = cut(_lines(spark, d).select(*key, F.explode(found).alias("m")).select(*key, "m.*"))
+    of = lambda kind: found.filter(F.col("kind") == kind).select(*key, "kind", "s", "e")
+    taken = of("drug")
+    taken = taken.unionByName(arbitrate.free_rows(of("diagnosis"), taken, keys))
     # A pair is two spans; both go if either meets a taken one.
-    ends = F.col("m.ends")
-    pairs = _matches(spark, d, scan.lab_matches).select(
-        *key, ends[0].alias("s"), ends[1].alias("e"), ends[2].alias("vs"), ends[3].alias("ve")
-    )
-    ok = arbitrate.free_rows(pairs, taken, keys)
-    ok = arbitrate.free_rows(ok.select(*key, F.col("vs").alias("s"), F.col("ve").alias("e"), F.col("s").alias("ns"), F.col("e").alias("ne")), taken, keys)
-    labs = ok.select(*key, F.lit("lab").alias("kind"), F.col("ns").alias("s"), F.col("ne").alias("e")).unionByName(
-        ok.select(*key, F.lit("lab").alias("kind"), "s", "e")
-    )
-    taken = taken.unionByName(labs)
-    symptoms = _matches(spark, d, scan.symptom_matches).select(*key, F.lit("symptom").alias("kind"), "m.s", "m.e")
-    return taken.unionByName(arbitrate.free_rows(symptoms, taken, keys))
+    ok = arbitrate.free_rows(found.filter("kind = 'lab'"), taken, keys)
+    ok = arbitrate.free_rows(ok.select(*key, "kind", F.col("s").alias("ns"), F.col("e").alias("ne"), F.col("vs").alias("s"), F.col("ve").alias("e")), taken, keys)
+    both = F.explode(F.array(F.struct(F.col("ns").alias("s"), F.col("ne").alias("e")), F.struct("s", "e"))).alias("x")
+    taken = taken.unionByName(ok.select(*key, "kind", both).select(*key, "kind", "x.s", "x.e"))
+    return taken.unionByName(arbitrate.free_rows(of("symptom"), taken, keys))
 
 
 def _accepted(spark, d) -> DataFrame:
@@ -258,9 +269,9 @@ def newline_translation(spark, d):
 
 
 def file_order(spark, d):
-    """Place of each file within its ward by the number of its record."""
-    w = Window.partitionBy("ward").orderBy(numeric_order(F.col("record_id")), "record_id", "file_id")
-    return _files(spark, d).select("file_id", F.row_number().over(w).alias("place"))
+    """Each file's place in its ward, by number of its record; a ward may lie in any number of tasks."""
+    order = [numeric_order(F.col("record_id")), F.col("record_id"), F.col("file_id")]
+    return ranked(_files(spark, d).select("file_id", "ward", "record_id"), ["ward"], order, "place").select("file_id", "place")
 
 
 def file_concepts(spark, d):
@@ -271,6 +282,23 @@ def file_concepts(spark, d):
     )
 
 
+def streamed_concepts(spark, d):
+    """file_concepts, but the files come as a stream that is worked off in micro-batches and written exactly once."""
+    files, out = _files(spark, d), shared_dir(spark)
+    arriving = read_notes(spark, f"{d}/note_files.parquet", files.schema).select("file_id", universal_newlines(F.col("text")).alias("text"))
+    write_stream(concept_stream(arriving, ["file_id"]), f"{out}/rows", f"{out}/state").awaitTermination()
+    rows = spark.read.schema("file_id bigint, text string, type string, position array<int>").parquet(f"{out}/rows")
+    return rows.select("file_id", "type", "text", F.col("position")[0].alias("s"), F.col("position")[1].alias("e"))
+
+
+def lexicon_source(spark, d):
+    """The vocabulary as the extractor takes it from the tables."""
+    x = read_lexicon(spark, d)
+    rows = [("drug", t, "|".join(c)) for t, c in x.drugs.items()] + [("diagnosis", t, "|".join(c)) for t, c in x.diagnoses.items()]
+    rows += [(kind, t, "") for kind, terms in (("symptom", x.symptoms), ("lab", x.labs)) for t in terms]
+    return spark.createDataFrame(rows, "kind string, term string, codes string")
+
+
 def run_summary(spark, d):
     return _files(spark, d).agg(F.count(F.lit(1)).alias("n_files"), F.count("text").alias("n_read"))
 
@@ -293,7 +321,7 @@ NAMES = (
     "top_section drug_scan dose_extension diagnosis_scan symptom_scan lab_pairs drug_codes diagnosis_codes "
     "overlap_antijoin assert_negated assert_family assert_historical symptom_proximity assertion_list concepts_union "
     "concepts_sorted concepts_per_doc concept_counts concepts_json file_record_ids newline_translation file_order "
-    "file_concepts run_summary p6_found p6_store"
+    "file_concepts streamed_concepts lexicon_source run_summary p6_found p6_store"
 ).split()
 
 

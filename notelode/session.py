@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +27,22 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; that setting is made only where it is unset."""
+    """A fresh folder under spark.checkpoint.dir, deleted when the driver ends.
+
+    Only a local session may have the setting made here; on a cluster a folder of one machine would lose rows.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="notelode-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{path}/t"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +52,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they are processes of this machine and find it themselves."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or any(f.endswith("/notelode.zip") for f in sc.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{os.path.dirname(shared_dir(spark))}/notelode.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target.toString())
+
+
 def cores(spark: SparkSession) -> int:
     """Task slots to spread work over, whatever the size of the input files."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,28 +23,27 @@ def record_id(file_name: Column) -> Column:
     return F.when(file_name.endswith(".txt"), found)
 
 
-def _empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Names of the empty *.txt files, which a scan leaves out. The driver's file index lists the same directory."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-    return [x.getPath().toString() for x in found if x.isFile() and not x.getLen() and x.getPath().getName().endswith(".txt")]
+def _names(scan: DataFrame) -> DataFrame:
+    """path of every file a scan looks at. Names go from the file index into a table within the JVM, none through Python."""
+    spark, jvm = scan.sparkSession, scan.sparkSession.sparkContext._jvm
+    found = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(scan._jdf.inputFiles())
+    names = DataFrame(spark._jsparkSession.createDataset(found, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    # The index gives names as in a URI, in which a plus is one.
+    return names.select(F.url_decode(F.regexp_replace("value", r"\+", "%2B")).alias("path"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, text, size of every *.txt right in a directory; invalid UTF-8 raises, a byte-order mark stays."""
-    full = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.txt")
-        .load(path)
-        .select(
-            record_id(F.col("path")).alias("record_id"),
-            universal_newlines(F.decode(F.col("content"), "UTF-8")).alias("text"),
-            F.col("length").alias("size"),
-        )
-    )
-    empty = spark.createDataFrame([(x,) for x in _empty_files(spark, path)], "path string")
-    return full.unionByName(empty.select(record_id(F.col("path")).alias("record_id"), F.lit("").alias("text"), F.lit(0).cast("long").alias("size")))
+    """record_id, text, size of every *.txt right in a directory; invalid UTF-8 raises, a byte-order mark stays.
+
+    A scan leaves out empty files; they are those of the index that it didn't give.
+    """
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    full = scan.select("path", F.decode(F.col("content"), "UTF-8").alias("text"), F.col("length").alias("size"))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    empty = _names(scan).select(bare(F.col("path")).alias("path")).join(scan.select(bare(F.col("path")).alias("path")), "path", "left_anti")
+    empty = empty.select("path", F.lit("").alias("text"), F.lit(0).cast("long").alias("size"))
+    both = full.unionByName(empty)
+    return both.select(record_id(F.col("path")).alias("record_id"), universal_newlines(F.col("text")).alias("text"), "size")
 
 
 def numeric_order(record: Column) -> Column:
@@ -60,21 +60,41 @@ def in_file_order(notes: DataFrame) -> DataFrame:
     return notes.orderBy(checked, "record_id")
 
 
-def _write(rows: Iterator[Row], directory: str) -> Iterator[int]:
-    n = 0
-    for row in rows:
-        out = [{k: v for k, v in c.asDict().items() if v is not None} for c in row["concepts"] or []]
-        target = os.path.join(directory, f"{row['record_id']}.json")
-        # A task that is run again replaces its files whole, so readers never see half of one.
-        temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(out, f, ensure_ascii=False, indent=2)
-        os.replace(temporary, target)
-        n += 1
-    yield n
+def _content(concepts: Sequence | None) -> bytes:
+    """A file's content: concepts as JSON, fields that are null left out."""
+    # Arrays come as NumPy's from a batch.
+    listed = lambda v: v.tolist() if hasattr(v, "tolist") else list(v) if isinstance(v, (list, tuple)) else v
+    out = [{k: listed(v) for k, v in c.items() if v is not None} for c in (concepts if concepts is not None else [])]
+    return json.dumps(out, ensure_ascii=False, indent=2).encode()
 
 
 def write_json_files(concepts: DataFrame, directory: str) -> int:
-    """Write <record_id>.json for each row of record_id, concepts; returns how many. The directory must be shared."""
-    os.makedirs(directory, exist_ok=True)
-    return concepts.select("record_id", "concepts").rdd.mapPartitions(lambda rows: _write(rows, directory)).sum()
+    """Write <record_id>.json for each row of record_id, concepts; returns how many.
+
+    The directory is made if there is none. It may lie on any file system that both Spark's and Arrow's drivers reach
+    (local or mounted, hdfs, s3, gcs), and must be shared by the executors.
+    """
+    spark = concepts.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(directory)
+    fs = at.getFileSystem(conf)
+    fs.mkdirs(at)
+    # Hadoop writes a local name with one slash, Arrow wants three.
+    target = re.sub("^file:/+", "file:///", fs.makeQualified(at).toString())
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow
+
+        store, base = arrow.FileSystem.from_uri(target)
+        for b in batches:
+            for record, found in zip(b["record_id"], b["concepts"], strict=True):
+                name = f"{base}/{record}.json"
+                # A task that is run again replaces its files whole, so readers never see half of one.
+                temporary = f"{name}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(temporary) as f:
+                    f.write(_content(found))
+                store.move(temporary, name)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    done = concepts.select("record_id", "concepts").mapInPandas(write, "n bigint")
+    return done.agg(F.sum("n")).first()[0] or 0

@@ -16,6 +16,9 @@ class Folder:
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def make(self) -> None:
+        self.fs.mkdirs(self._at(""))
+
     def names(self, name: str = "") -> list[str]:
         if not self.fs.exists(self._at(name)):
             return []

@@ -11,7 +11,13 @@ from notelode.plans.pipeline import concept_rows
 
 
 def read_notes(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """Rows of the Parquet files in a folder, or of one file; a stream's source is a folder in either case."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    reader = spark.readStream.schema(schema)
+    if status.isFile():
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    return reader.parquet(path)
 
 
 def concept_stream(notes: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

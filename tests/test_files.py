@@ -1,5 +1,6 @@
 """Directory source, JSON sink, command line and streams."""
 
+import datetime as dt
 import json
 import os
 
@@ -9,7 +10,7 @@ from notelode import extract_concepts
 from notelode.__main__ import main
 from notelode.plans.pipeline import concept_rows
 from notelode.sources.files import in_file_order, read_text_files, write_json_files
-from notelode.streaming.extract import concept_stream, read_notes, write_stream
+from notelode.streaming.extract import concept_stream, counts_by_window, deduplicated, read_notes, write_stream
 
 
 @pytest.fixture
@@ -31,6 +32,14 @@ def test_read(spark, folder):
     assert rows[2]["text"] == "a\nsốt\nđau" and rows[3]["text"].startswith("﻿")
 
 
+def test_odd_names(spark, tmp_path):
+    names = ["a b.txt", "c+d.txt", "e%20f.txt", "sốt.txt", "g\u0301.txt"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text("x" * (i % 2))
+    rows = {r["record_id"]: r["text"] for r in read_text_files(spark, str(tmp_path)).collect()}
+    assert rows == {name[:-4]: "x" * (i % 2) for i, name in enumerate(names)}
+
+
 def test_bad_bytes_raise(spark, folder):
     (folder / "5.txt").write_bytes(b"\xff\xfe\xfa")
     with pytest.raises(Exception, match="MALFORMED_CHARACTER_CODING"):
@@ -63,3 +72,18 @@ def test_stream_equals_batch(spark, tmp_path):
     write_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(map(str, got)) == sorted(map(str, concept_rows(rows, ["id"]).collect()))
+
+
+def test_stream_drops_repeats_and_counts(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 8) + dt.timedelta(minutes=m)
+    rows = [(1, at(0), "sốt"), (1, at(1), "sốt"), (2, at(70), "sốt, đau"), (3, at(2), "ho")]
+    spark.createDataFrame(rows, "id int, at timestamp, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    notes = read_notes(spark, str(tmp_path / "in"), "id int, at timestamp, text string")
+    write_stream(deduplicated(notes, ["id"], "at"), str(tmp_path / "once"), str(tmp_path / "c1")).awaitTermination()
+    once = spark.read.parquet(str(tmp_path / "once"))
+    assert sorted(r["id"] for r in once.collect()) == [1, 2, 3]
+    found = concept_stream(notes, ["id", "at"])
+    counts = counts_by_window(found, "at", "1 hour", "10 minutes")
+    counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["window_start"].hour, r["type"]): r["n"] for r in spark.table("counts").collect()}
+    assert got == {(8, "TRIỆU_CHỨNG"): 3, (9, "TRIỆU_CHỨNG"): 2}

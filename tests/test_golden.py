@@ -3,11 +3,14 @@
 import json
 import os
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from notelode import concepts_json, extract_concepts
 from notelode.lexicon import DEFAULT, Lexicon
+from notelode.patterns import build
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ROW = re.compile(r"\| (G\d\d) \| `(.*?)` \| (.*?) \| ")
@@ -64,6 +67,31 @@ def test_long_text_and_lines(spark):
     assert got[2][0].position == [0, 7 + 3 * 30000]
 
 
+def test_cost_grows_with_the_lines(spark):
+    """Ten times as many lines take about ten times as long, in one text."""
+
+    def seconds(n):
+        rows = spark.createDataFrame([("- sốt và đau\n" * n,)], "text string")
+        began = time.time()
+        assert extract_concepts(rows).select(F.size("concepts")).first()[0] == 2 * n
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(50_000) < 20 * seconds(5_000) + 2
+
+
+def test_empty_lists(spark):
+    rows = spark.createDataFrame([("không sốt, Na: 140, aspirin",)], "text string")
+    own = Lexicon(drugs={}, diagnoses={}, symptoms=("sốt",), labs=(), negation=(), family=(), historical=(), sections=())
+    assert [(c.text, c.assertions) for c in extract_concepts(rows, lexicon=own).first()["concepts"]] == [("sốt", [])]
+
+
+@pytest.mark.parametrize("term", ["daily-tan", "mg x", "l-dopa"])
+def test_drugs_that_begin_in_a_dose(term):
+    with pytest.raises(ValueError, match="dose"):
+        build(Lexicon(drugs={term: ("1",)}))
+
+
 def test_own_lexicon_is_checked():
     with pytest.raises(ValueError, match="lower case"):
         Lexicon(symptoms=("Sốt",))
