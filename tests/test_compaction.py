@@ -45,6 +45,22 @@ def test_against_loop(spark, tmp_path, rows):
     assert ids(store.read()) == sorted({r[0] for r in rows} - out)
     assert store.read().columns == ["file_id", "record_id", "text", "written_at", "ward"]
     assert sum(x["files"] for x in store.live()) == 1
+    # Sixteen runs, by fours.
+    assert [x["level"] for x in store.commits()] == [1, 2, 2, 2, 2, 3]
+
+
+def test_readers_of_replaced_runs(spark, tmp_path, rows):
+    df, path = spark.createDataFrame(rows, SCHEMA), str(tmp_path / "s")
+    store = Store(spark, path)
+    store.ingest(df, "all", 2)
+    early = store.read()
+    store.finish()
+    store.vacuum()
+    assert early.count() == len(rows)
+    store.grace = 0
+    store.vacuum()
+    assert ids(Store(spark, path).read()) == sorted({r[0] for r in rows} - plain(rows))
+    assert ids(Store(spark, path).dropped()) == sorted(plain(rows))
 
 
 def test_batches_and_levels(spark, tmp_path, rows):
