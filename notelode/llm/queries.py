@@ -73,6 +73,11 @@ def p5_found(spark, d):
     return p5_values(spark, d).filter("mark IS NOT NULL").select("type", "text", "mark")
 
 
+def p5_ngrams(spark, d):
+    """Word sequences of up to three words within values."""
+    return frequency.word_ngrams(_table(spark, d, "mentions"), "record_id", "type", "text")
+
+
 def p7_ids(spark, d):
     return bpe.token_ids(_table(spark, d, "documents"), "doc_id", "text")
 
@@ -106,6 +111,10 @@ m AS (SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records * 20 > (SELEC
 
 _SQL = {
     "p5_values": _VALUES + "SELECT type, text, n, n_records, mark FROM m",
+    "p5_ngrams": _VALUES.partition("c AS")[0] + """w AS (SELECT string_split(text, ' ') AS w, record_id FROM v),
+k AS (SELECT w, record_id, unnest([1, 2, 3]) AS size FROM w),
+g AS (SELECT size, record_id, w, unnest(range(1, len(w) - size + 2)) AS i FROM k)
+SELECT size, array_to_string(w[i:i + size - 1], ' ') AS ngram, count(*) AS n, count(DISTINCT record_id) AS n_records FROM g GROUP BY 1, 2""",
     "p5_found": _VALUES + "SELECT type, text, mark FROM m WHERE mark IS NOT NULL",
 }
 
