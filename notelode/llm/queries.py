@@ -87,16 +87,35 @@ def _packs(spark, d) -> list[tuple[str, int]]:
     return [(r["pack_name"], r["capacity_tokens"]) for r in _table(spark, d, "pack_sizes").orderBy("pack_name").collect()]
 
 
+def _packed(spark, d) -> packing.Packed:
+    sizes = bpe.token_counts(_table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", _packs(spark, d))
+
+
 def p8_pack(spark, d):
     """Containers of every capacity: which documents, or pieces of those that are too long, lie in them."""
-    sizes = bpe.token_counts(_table(spark, d, "documents"), "doc_id", "text")
-    placed = packing.pack(sizes, "doc_id", "n_tokens", _packs(spark, d))
-    return placed.withColumnsRenamed({"first": "first_token", "size": "n_tokens"})
+    return _packed(spark, d).placed.withColumnsRenamed({"first": "first_token", "size": "n_tokens"})
 
 
 def p8_use(spark, d):
-    """Containers, and how full they are, by capacity."""
-    return packing.use(p8_pack(spark, d).withColumnRenamed("n_tokens", "size"), _packs(spark, d))
+    """Containers, how full they are, and the fewest that any packing needs, by capacity."""
+    return packing.use(_packed(spark, d), _packs(spark, d))
+
+
+def p8_bounds(spark, d):
+    """What each partition needed in each round, and its bound."""
+    return _packed(spark, d).bounds
+
+
+def p8_check(spark, d):
+    """By capacity: documents packed, containers that hold too much, and documents split though they would fit."""
+    of = spark.createDataFrame(_packs(spark, d), "pack_name string, capacity int")
+    placed = _packed(spark, d).placed
+    full = placed.groupBy("pack_name", "container").agg(F.sum("size").alias("size")).join(of, "pack_name")
+    full = full.groupBy("pack_name").agg(F.count(F.when(F.col("size") > F.col("capacity"), 1)).alias("overfull"))
+    whole = placed.groupBy("pack_name", "doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("pieces")).join(of, "pack_name")
+    needless = F.count(F.when(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))), 1))
+    return whole.groupBy("pack_name").agg(F.count(F.lit(1)).alias("documents"), needless.alias("needless")).join(full, "pack_name")
 
 
 def p9_found(spark, d):
@@ -110,6 +129,7 @@ m AS (SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records * 20 > (SELEC
 """
 
 _SQL = {
+    "p8_check": "SELECT pack_name, count(doc_id) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS needless FROM pack_sizes, documents GROUP BY pack_name",
     "p5_values": _VALUES + "SELECT type, text, n, n_records, mark FROM m",
     "p5_ngrams": _VALUES.partition("c AS")[0] + """w AS (SELECT string_split(text, ' ') AS w, record_id FROM v),
 k AS (SELECT w, record_id, unnest([1, 2, 3]) AS size FROM w),

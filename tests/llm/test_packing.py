@@ -48,12 +48,12 @@ def test_bound_sees_large_items():
 
 
 @pytest.mark.parametrize("items", [packing.ITEMS, 60])
-def test_whole(spark, monkeypatch, items):
-    monkeypatch.setattr(packing, "ITEMS", items)
+def test_whole(spark, items):
     rng = random.Random(8)
     rows = [(i, int(rng.lognormvariate(4, 1))) for i in range(500)] + [(500, 0), (501, None), (502, 1000), (503, 2150), (7, 12)]
     packs = [("a", 512), ("b", 1000)]
-    got = pack(spark.createDataFrame(rows, "doc long, n long"), "doc", "n", packs).collect()
+    packed = pack(spark.createDataFrame(rows, "doc long, n long"), "doc", "n", packs, items)
+    got = packed.placed.collect()
     for name, c in packs:
         mine = [r for r in got if r["pack_name"] == name]
         loads, tokens, pieces = {}, {}, {}
@@ -68,12 +68,39 @@ def test_whole(spark, monkeypatch, items):
         assert all(len(p) == 1 for d, p in pieces.items() if d != 7 and want[d] <= c)
         assert sorted(pieces[503])[0] == (0, min(c, 2150))
         assert len(loads) <= 1.1 * sum(want.values()) / c + 1
-    df = spark.createDataFrame([r.asDict() for r in got], "pack_name string, container string, size int, doc long")
-    assert {r["pack_name"] for r in use(df, packs).collect()} == {"a", "b"}
+    used = {r["pack_name"]: r for r in use(packed, packs).collect()}
+    bounds = packed.bounds.collect()
+    for name, c in packs:
+        mine = {r["container"] for r in got if r["pack_name"] == name}
+        pieces = np.array([r["size"] for r in got if r["pack_name"] == name])
+        assert used[name]["containers"] == len(mine) and used[name]["least"] == lower_bound(pieces, c) <= len(mine)
+        # What was closed in each partition and round is what there is.
+        own = [r for r in bounds if r["pack_name"] == name]
+        assert sum(r["closed"] for r in own) == len(mine) and all(r["bound"] <= r["bins"] for r in own)
+        assert (len(own) > 1) == (items == 60)
+
+
+def test_exchange_between_partitions(spark):
+    """Partitions that share what isn't full need hardly more containers than one partition."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1, 300)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc long, n long")
+    packs = [("a", 512)]
+    one, many = (use(pack(df, "doc", "n", packs, each), packs).first() for each in (10_000, 500))
+    assert many["least"] == one["least"] and many["gap"] <= one["gap"] + 0.01 * one["containers"]
+
+
+def test_ids_of_any_type(spark):
+    rows = [("x" * i if i % 3 else None, i) for i in range(30)]
+    got = pack(spark.createDataFrame(rows, "doc string, n int"), "doc", "n", [("a", 40)]).placed
+    assert dict(got.dtypes)["doc"] == "string"
+    assert sorted((r["doc"] or "", r["size"]) for r in got.collect()) == sorted((d or "", n) for d, n in rows)
+    big = spark.createDataFrame([((1 << 60) + 1, 3), (None, 2)], "doc long, n int")
+    assert {r["doc"] for r in pack(big, "doc", "n", [("a", 40)]).placed.collect()} == {(1 << 60) + 1, None}
 
 
 def test_empty_and_wrong(spark):
     df = spark.createDataFrame([], "doc long, n long")
-    assert pack(df, "doc", "n", [("a", 10)]).count() == 0
+    assert pack(df, "doc", "n", [("a", 10)]).placed.count() == 0
     with pytest.raises(ValueError, match="positive"):
         pack(df, "doc", "n", [("a", 0)])
