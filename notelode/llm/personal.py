@@ -12,6 +12,7 @@ A null text has no item and stays null.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -23,45 +24,102 @@ from notelode.session import spread
 
 KINDS = ("name", "phone", "email", "id_number", "address")
 
-# Digit words, bare.
+# Digit words of each language from zero to nine, bare, with other words for some.
 _DIGITS = {
     w: str(i % 10)
-    for words in ("khong mot hai ba bon nam sau bay tam chin", "zero one two three four five six seven eight nine")
+    for words in (
+        "khong mot hai ba bon nam sau bay tam chin", "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier funf sechs sieben acht neun", "zero un deux trois quatre cinq six sept huit neuf",
+        "ศูนย์ หนึ่ง สอง สาม สี่ ห้า หก เจ็ด แปด เก้า", "〇 一 二 三 四 五 六 七 八 九",
+    )
     for i, w in enumerate(words.split())
-} | {"le": "0", "linh": "0", "tu": "4", "lam": "5", "oh": "0", "nought": "0"}
-_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?:[ \n,.-]{{1,2}}(?:{_WORD})){{6,}}(?![A-Za-z])", re.I)
-_ONE = re.compile(rf"{_WORD}", re.I)
-_AT = re.compile(r"(?<=[A-Za-z0-9])[ \n]?(?:\[at\]|\(at\)|\{at\}|\(a\)|\[a\]|\[@\]|\(@\)|@)[ \n]?(?=[A-Za-z0-9])", re.I)
-_DOT = re.compile(r"[ \n]?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]|\(\.\)|\(cham\)|\[cham\])[ \n]?", re.I)
-
-
-def uncover(s: str, places: Sequence[int]) -> tuple[str, list[tuple[int, int]]]:
-    """The second transducer: text with plain digits and signs, and the source span of each of its characters."""
-    edits = []
-    for m in _SPELLED.finditer(s):
-        words = list(_ONE.finditer(m[0]))
-        # The word for zero is also "not", which may open what follows a number of ten digits.
-        if len(words) == 11 and words[-1][0].lower() == "khong":
-            words.pop()
-        edits.append((m.start(), m.start() + words[-1].end(), "".join(_DIGITS[w[0].lower()] for w in words)))
-    edits += [(m.start(), m.end(), "@") for m in _AT.finditer(s)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(s)]
-    out, spans, at = [], [], 0
-    for b, e, new in sorted(edits):
-        if b < at:
-            continue
-        out.append(s[at:b])
-        spans += [(places[i], places[i] + 1) for i in range(at, b)]
-        out.append(new)
-        spans += [(places[b], places[e - 1] + 1)] * len(new)
+} | {"le": "0", "linh": "0", "tu": "4", "lam": "5", "oh": "0", "nought": "0", "zwo": "2", "une": "1", "零": "0", "幺": "1", "両": "2"}
+_longest = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_LATIN_DIGIT = _longest(w for w in _DIGITS if w.isascii())
+_THAI_DIGIT = _longest(w for w in _DIGITS if "฀" <= w[0] <= "๿")
+_HAN_DIGIT = "".join(w for w in _DIGITS if "⺀" <= w[0])
+_ONE = re.compile(rf"{_LATIN_DIGIT}|{_THAI_DIGIT}|[{_HAN_DIGIT}]", re.I)
+#: Everything that is written otherwise than it reads: numbers in words, whole addresses in words, disguised signs.
+_COVERED = re.compile(
+    rf"(?P<number>(?<![A-Za-z])(?:{_LATIN_DIGIT})(?:[ \n,.-]{{1,2}}(?:{_LATIN_DIGIT})){{6,}}(?![A-Za-z])"
+    rf"|(?:{_THAI_DIGIT})(?:[ -]?(?:{_THAI_DIGIT})){{6,}}|[{_HAN_DIGIT}](?:[ の-]?[{_HAN_DIGIT}]){{6,}})"
+    r"|(?P<words>(?<![A-Za-z0-9])[A-Za-z0-9][\w.+-]*(?: (?:dot|cham|point|punkt) [\w+-]+)* (?:at|a cong|arobase) [A-Za-z0-9-]+(?: (?:dot|cham|point|punkt) [A-Za-z0-9-]+)+)"
+    r"|(?P<at>(?<=[A-Za-z0-9])[ \n]?(?:\[at\]|\(at\)|\{at\}|\(a\)|\[a\]|\[@\]|\(@\)|@)[ \n]?(?=[A-Za-z0-9]))"
+    r"|(?P<dot>[ \n]?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]|\(\.\)|\(cham\)|\[cham\])[ \n]?)",
+    re.I,
+)
+_SIGN = re.compile(r" (?:(at|a cong|arobase)|dot|cham|point|punkt) ", re.I)
+_RUN = re.compile(rf"[{_HAN_DIGIT}](?:[ の-]?[{_HAN_DIGIT}]){{6}}|(?:{_THAI_DIGIT})(?:[ -]?(?:{_THAI_DIGIT})){{6}}")
+_LETTERS = re.compile("[a-z]+")
+_LATIN_DIGITS = frozenset(w for w in _DIGITS if w.isascii())
+_SIGN_WORDS = ("@", "[at]", "(at)", "{at}", "(a)", "[a]", "dot", "cham", "point", "punkt", "[.]")
+
+
+def _is_plain(s: str) -> bool:
+    """Whether a text surely has nothing to uncover: no sign, no seven digit words in a row."""
+    low = s.lower()
+    if any(w in low for w in _SIGN_WORDS):
+        return False
+    words = _LETTERS.findall(low)
+    if "1111111" in "".join(["1" if w in _LATIN_DIGITS else "0" for w in words]):
+        return False
+    return low.isascii() or not _RUN.search(low)
+
+
+#: A run of a text as uncovered, and where it comes from: start in it, start and end in the text as read, whether it stands for all of that.
+Run = tuple[int, int, int, bool]
+
+
+def uncover(s: str) -> tuple[str, list[Run]]:
+    """The second transducer: the text with plain digits and signs, and the runs it is made of."""
+    if _is_plain(s):
+        return s, [(0, 0, len(s), False)]
+    out: list[str] = []
+    runs: list[Run] = []
+    made = at = 0
+
+    def put(new: str, b: int, e: int, stands: bool) -> None:
+        nonlocal made
+        if new:
+            out.append(new)
+            runs.append((made, b, e, stands))
+            made += len(new)
+
+    for m in _COVERED.finditer(s):
+        b, e = m.span()
+        put(s[at:b], at, b, False)
         at = e
-    out.append(s[at:])
-    spans += [(places[i], places[i] + 1) for i in range(at, len(s))]
-    return "".join(out), spans
+        if m["number"]:
+            words = list(_ONE.finditer(s, b, e))
+            # Without marks some digits are other words too ("not", "after", "year"), which may open what follows a number of ten.
+            if len(words) == 11 and words[-1][0].lower() in ("khong", "sau", "nam"):
+                words.pop()
+            at = words[-1].end()
+            put("".join(_DIGITS[w[0].lower()] for w in words), b, at, True)
+        elif m["words"]:
+            for x in _SIGN.finditer(s, b, e):
+                put(s[b : x.start()], b, x.start(), False)
+                put("@" if x[1] else ".", x.start(), x.end(), True)
+                b = x.end()
+            put(s[b:e], b, e, False)
+        else:
+            put("@" if m["at"] else ".", b, e, True)
+    put(s[at:], at, len(s), False)
+    return "".join(out), runs
+
+
+def _source(runs: list[Run], places: Sequence[int], b: int, e: int) -> tuple[int, int]:
+    """The source span of a span of what was uncovered."""
+    start, first, end, stands = runs[bisect_right(runs, b, key=lambda r: r[0]) - 1]
+    begin = places[first if stands else first + b - start]
+    start, first, end, stands = runs[bisect_right(runs, e - 1, key=lambda r: r[0]) - 1]
+    return begin, places[end - 1 if stands else first + e - 1 - start] + 1
 
 
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:(?:\.[A-Za-z0-9-]+)+|(?:[ \n]\.[ \n][A-Za-z0-9-]+)+)")
 
+#: Characters before a number that are looked at: longer than any cue with its blanks.
+BEFORE = 64
 #: Words before a number of a thing.
 _THING = re.compile(
     r"(?<![A-Za-z])(?:mau so|may bom so|bom so|so phieu|phieu|ma to|ma|to|ngan|ban ghi|lo thuoc|lo|phien ban|phong|muc|tr\.|sample no\.?|sample|form|"
@@ -79,6 +137,8 @@ _PHONES = [
     r"(?:\(0\d{2,3}\)[ -]?|0\d{3}[ -])\d{3,4}[ .-]?\d{3}",
     # Abroad.
     r"(?:\+1[ .-])?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?:[ ]?(?:ext\.?|x)[ ]?\d{1,5})?",
+    # Mobile numbers of China by structure.
+    r"1[3-9]\d{9}",
     r"\d{3}-\d{4}(?:[ ]?(?:ext\.?|x)[ ]?\d{1,5})?",
     r"\+49[ ]?\(0\)[ ]?\d{2,4}[ /-]?\d{3,5}[ -]?\d{2,4}|0\d{2,4}[ /]\d{4,5}[ -]?\d{3,4}",
     r"(?:\+33[ .]?\d|0\d)(?:[ .]\d{2}){4}",
@@ -86,18 +146,16 @@ _PHONES = [
     r"(?:\+81[ -]?)?(?:\(\d{2,4}\)|\d{2,4}-)\d{4}-\d{4}",
     r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}",
 ]
-_PHONE = [re.compile(_GUARD.replace("./", "") + f"(?:{p})" + _END) for p in _PHONES]
-_ID = [
-    re.compile(_GUARD + p + _END)
-    for p in (
-        r"[A-Z]{2}[ ]?\d[ ]?\d{2}[ ]?\d{5}[ ]?\d{5}",  # health insurance
-        r"\d-\d{4}-\d{5}-\d{2}-\d",
-        r"\d{17}[\dXx]",
-        r"0\d{2}[ .]?\d{3}[ .]?\d{3}[ .]?\d{3}",
-        r"\d{9}|\d{3}\.\d{3}\.\d{3}|\d{3} \d{3} \d{3}",
-        r"(?:[A-Z]{2}[ ]?|[A-Z])\d{7}",  # passport
-    )
-]
+_PHONE = re.compile(_GUARD.replace("./", "") + f"(?:{'|'.join(_PHONES)})" + _END)
+#: Identity numbers; those of the group "own" are known by their structure.
+_ID = re.compile(
+    _GUARD
+    + r"(?:(?P<own>[A-Z]{2}[ ]?\d[ ]?\d{2}[ ]?\d{5}[ ]?\d{5}"  # health insurance
+    + r"|\d-\d{4}-\d{5}-\d{2}-\d|\d{17}[\dXx]|\d{3}-\d{2}-\d{4})"
+    + r"|0\d{2}[ .]?\d{3}[ .]?\d{3}[ .]?\d{3}|\d{9}|\d{3}\.\d{3}\.\d{3}|\d{3} \d{3} \d{3}"
+    + r"|(?:[A-Z]{2}[ ]?|[A-Z])\d{7})"  # passport
+    + _END
+)
 #: Words before an identity number. A plain run of digits needs one, or a place between dashes beside a name.
 _CARD = re.compile(
     r"(?:cccd|cmnd|can cuoc|dinh danh|ho chieu so|ho chieu|the bhyt|bhyt|giay to kem theo|giay to|passport|ausweis|piece|id no\.?|identity card|insurance no\.?|"
@@ -115,6 +173,9 @@ _WEAK = set("Le Ho Ha Lam Cao Mai Do To La Tu Ta Bach Dao Thach Thai Quan Ly Vu
 _STRONG = [n for n in _FAMILY if n not in _WEAK]
 _CAP = r"(?:[A-Z][a-z]+)"
 _VI_MIXED = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(_STRONG)})(?:[ ]{_CAP}){{1,3}}(?![A-Za-z])")
+# Middle names, bare, which tell a name from other words after a weak family name.
+_MIDDLE = "Van|Thi|Huu|Duc|Ngoc|Quoc|Xuan|Dinh|Ba|Quang|Cong|Trong|Tien|Viet|Gia|Thuy|Kim|Khac|Manh|Hong|Minh|Thanh"
+_VI_MIDDLE = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(sorted(_WEAK))}) (?:{_MIDDLE})(?: {_CAP}){{1,2}}(?![A-Za-z])(?! (?:Street|Road|Hospital))")
 _VI_UPPER = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(n.upper() for n in _STRONG)})(?:[ ][A-Z]{{2,}}){{1,3}}(?![A-Za-z])")
 _VI_CUED = re.compile(
     rf"(?:[Bb]enh nhan|[Nn]guoi benh|[Nn]guoi giam ho:|[Hh]o va ten:|[Cc]on (?:gai|trai) ten|\b(?:[Bb]a|[Oo]ng|[Aa]nh|[Cc]hi|BS\.|KTV\.|DD\.|ThS\.))[ \n]+"
@@ -123,7 +184,7 @@ _VI_CUED = re.compile(
 _W = r"(?:[A-Z][a-z]+|[A-Z]{3,})"
 _LATIN = rf"(?:{_W}|[A-Z]\.)(?:[ ][A-Z]\.)?[ ](?:(?:von|van|de|du|der|zu)[ ])?{_W}(?:-{_W})?"
 _LATIN_CUED = re.compile(
-    rf"(?:[Kk]in is|[Ff]amily contact|[Ss]een by Dr\.|by Prof\.|Mr\.?|Mrs\.?|Ms\.?|Frau|Herr|gez\.|Mme|Mlle|[Ll]e Dr\.|[Ll]a Dr\.|Dr\.)[ \n]+({_LATIN})(?![A-Za-z])"
+    rf"(?:[Kk]in is|[Ff]amily contact|[Ss]een by Dr\.|by Prof\.|[Pp]atient(?:in|e)?(?: named)?|[Nn]urse|[Nn]ame:|Miss|M\.|Monsieur|Madame|Hr\.|Fr\.|Schwester|Pfleger|Mr\.?|Mrs\.?|Ms\.?|Frau|Herr|gez\.|Mme|Mlle|[Ll]e Dr\.|[Ll]a Dr\.|Dr\.)[ \n]+({_LATIN})(?![A-Za-z])"
 )
 _LATIN_ASKED = re.compile(rf"({_LATIN})[ \n](?:asked twice|called from|signed for|is reachable|est joignable|ist unter)")
 _HAN = r"[一-鿿々]"
@@ -139,7 +200,7 @@ _ADDRESSES = [
     for x in (
         rf"(?<![\w])[Ss]o \d+[A-Z]?(?:/\d+)*, (?:ngo|hem|ngach|kiet) \d+(?:/\d+)*, (?:duong|pho) {_P}, (?:phuong|xa|thi tran|P\.) ?{_P}(?:, (?:quan|huyen|thi xa|Q\.) ?{_P})?, (?:thanh pho|TP\.|tinh) ?{_P}",
         rf"(?<![\w./])\d+(?:/\d+)+ (?:duong|pho) {_P}, (?:phuong|P\.) ?{_P}, (?:thanh pho|TP\.) ?{_P}",
-        rf"(?<![\w./])\d+[A-Z]? (?:duong |pho )?{_P}, (?:Q\.|quan|P\.|phuong|TP\.|huyen) ?{_P}(?:, (?:TP\.|thanh pho) ?{_P})?",
+        rf"(?<![\w./])\d+[A-Z]? (?:duong |pho )?{_P}, (?:Q\.|quan|P\.|phuong|TP\.|huyen) ?(?:{_P}|\d{{1,2}})(?:, (?:TP\.|thanh pho) ?{_P})?",
         rf"(?<![\w])[Cc]an (?:ho )?\w*\d[\d.]* chung cu {_P}, duong {_P}, {_P}",
         rf"(?<![\w])[Tt]o \d+,? khu pho {_P}, (?:thi tran|phuong|xa) {_P}(?:, (?:huyen|thi xa|thanh pho|quan) {_P})?",
         rf"(?<![\w])(?:[Tt]hon|[Aa]p|[Xx]om|[Bb]an|[Kk]hu|[Dd]oi) \d+, xa {_P}, (?:huyen|thi xa) {_P}(?:, tinh {_P})?",
@@ -152,23 +213,26 @@ _ADDRESSES = [
         r"\d+(?:/\d+)? หมู่ \d+ ต(?:ำ|ํา)บล[฀-๿]+|\d+(?:/\d+)? ถนน[฀-๿]+ เมือง[฀-๿]+",
     )
 ]
-#: Words without which none of the addresses can be there.
-_PLACES = re.compile(
-    r"ngo|hem|ngach|kiet|duong|pho |chung cu|khu pho|, xa |, (?:Q|P|TP)\.|quan|phuong|huyen|Close|Row|Lane|Street|Road|Avenue|Court|Hill|Way|House|Tower|Mansions|"
-    r"stieg|weg|gasse|platz|allee|stra|str\.|rue|av\.|avenue|bd|boulevard|chemin|place|号|住所|หมู่|ถนน"
-)
+#: Of each address pattern, words of which one is in whatever it matches.
+_PLACES = [
+    w.split("|")
+    for w in (
+        "ngo|hem|ngach|kiet", "duong|pho", "Q.|quan|P.|phuong|TP.|huyen", "chung cu", "khu pho", ", xa ", "Close|Row|Lane|Street|Road|Avenue|Court|Hill|Way",
+        "Flat", "stieg|weg|gasse|platz|allee|stra|str.", "rue|av.|avenue|bd|boulevard|chemin|place", "号", "住所", "หมู่|ถนน",
+    )
+]
 _TABLE = re.compile(r"[A-Za-z] - $")
 
 
 def _number(t: str, m: re.Match) -> bool:
     """Whether the number is not one of a thing."""
-    return not _THING.search(t[max(0, m.start() - 28) : m.start()])
+    return not _THING.search(t[max(0, m.start() - BEFORE) : m.start()])
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the items in a text, in its own code points, by place; items don't overlap."""
     s, places = read(text)
-    t, spans = uncover(s, places)
+    t, runs = uncover(s)
     found: list[tuple[int, int, str]] = []
     free = bytearray(len(t))
 
@@ -180,29 +244,37 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "@" in t:
         for m in _EMAIL.finditer(t):
             take("email", m.start(), m.end())
-    if _PLACES.search(t):
-        for p in _ADDRESSES:
+    for words, p in zip(_PLACES, _ADDRESSES, strict=True):
+        if any(w in t for w in words):
             for m in p.finditer(t):
                 take("address", m.start(), m.end())
-    digits = re.search(r"\d{2}", t) is not None
-    if digits:
-        for k, p in enumerate(_ID):
-            for m in p.finditer(t):
-                before = t[max(0, m.start() - 28) : m.start()]
-                dashed = _TABLE.search(before) and t[m.end() : m.end() + 3] == " - "
-                if _CARD.search(before) or dashed or (k < 3 and _number(t, m)):
-                    take("id_number", m.start(), m.end())
-        for p in _PHONE:
+    if _TWO_DIGITS.search(t):
+        for m in _ID.finditer(t):
+            before = t[max(0, m.start() - BEFORE) : m.start()]
+            dashed = _TABLE.search(before) and t[m.end() : m.end() + 3] == " - "
+            if _CARD.search(before) or dashed or m["own"] and not _THING.search(before):
+                take("id_number", m.start(), m.end())
+        for m in _PHONE.finditer(t):
+            if _number(t, m):
+                take("phone", m.start(), m.end())
+        # Things have no number in words, so one that no pattern knows is to be called or shown.
+        for b, first, end, stands in runs:
+            n = next((i for i, c in enumerate(t[b : b + 32]) if not c.isdigit()), len(t) - b) if stands else 0
+            if 7 <= n <= 15 and end - first > n - 1 and not _THING.search(before := t[max(0, b - BEFORE) : b]):
+                take("id_number" if _CARD.search(before) else "phone", b, b + n)
+    for words, p in _NAMES:
+        if words is None or any(w in t for w in words):
             for m in p.finditer(t):
-                if _number(t, m):
-                    take("phone", m.start(), m.end())
-    for p in (_VI_CUED, _LATIN_CUED, _LATIN_ASKED, *_CJK_CUED, _THAI_CUED):
-        for m in p.finditer(t):
-            take("name", m.start(1), m.end(1))
-    for p in (_VI_MIXED, _VI_UPPER):
-        for m in p.finditer(t):
-            take("name", m.start(), m.end())
-    return [(kind, spans[b][0], spans[e - 1][1]) for b, e, kind in sorted(found)]
+                take("name", m.start(p.groups), m.end(p.groups))
+    return [(kind, *_source(runs, places, b, e)) for b, e, kind in sorted(found)]
+
+
+_TWO_DIGITS = re.compile(r"\d{2}")
+#: Name patterns, by rank, and words of which one is in whatever they match. A pattern's group, if it has one, is the name.
+_NAMES = [
+    (None, _VI_CUED), (None, _LATIN_CUED), (("asked", "called", "signed", "is reachable", "est joignable", "ist unter"), _LATIN_ASKED),
+    *((("家", "患者", "病人", "护士", "医生"), p) for p in _CJK_CUED), (("ชื่อ", "คุณ", "นาง", "นาย"), _THAI_CUED), (None, _VI_MIXED), (None, _VI_UPPER), (None, _VI_MIDDLE),
+]
 
 
 def redact(text: str | None) -> str | None:
@@ -228,18 +300,18 @@ def _redacted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"k": b["k"], "text": [redact(t) if isinstance(t, str) else None for t in b["t"]]})
 
 
-def _source(df: DataFrame, key: str, text: str) -> DataFrame:
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
 
 
 def personal_items(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, kind, start_pos, end_pos: one row per item."""
     kind = dict(df.dtypes)[key]
-    made = _source(df, key, text).mapInPandas(_found, f"k {kind}, kind string, start_pos bigint, end_pos bigint")
+    made = _texts(df, key, text).mapInPandas(_found, f"k {kind}, kind string, start_pos bigint, end_pos bigint")
     return made.withColumnRenamed("k", key)
 
 
 def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, text: each text with typed placeholders, otherwise as it was."""
-    made = _source(df, key, text).mapInPandas(_redacted, f"k {dict(df.dtypes)[key]}, text string")
+    made = _texts(df, key, text).mapInPandas(_redacted, f"k {dict(df.dtypes)[key]}, text string")
     return made.withColumnRenamed("k", key)

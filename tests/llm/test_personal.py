@@ -63,7 +63,7 @@ ADDRESSES = [
 
 @pytest.mark.parametrize("address", ADDRESSES)
 def test_no_address_is_passed_over(address):
-    assert any(p.search(address) for p in personal._ADDRESSES) and personal._PLACES.search(address)
+    assert any(p.search(address) and any(w in address for w in words) for words, p in zip(personal._PLACES, personal._ADDRESSES, strict=True))
 
 
 def test_every_address_pattern_is_asked():
@@ -88,3 +88,25 @@ def test_table(spark):
     assert sorted((r["doc"], r["text"]) for r in redacted(df, "doc", "note").collect() if r["doc"] < 4 and r["text"]) == [(3, "Gọi số [PHONE].")] * 2
     assert redacted(df, "doc", "note").filter("text IS NULL").count() == 1
     assert personal_items(df.limit(0), "doc", "note").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "item"),
+    [
+        ("Write to anna.k at example dot com today.", "email", "anna.k at example dot com"),
+        ("Gửi về lan chấm tran a còng mail chấm vn nhé", "email", "lan chấm tran a còng mail chấm vn"),
+        ("Tel.: null drei null, acht sieben sechs fünf vier drei zwei eins", "phone", "null drei null, acht sieben sechs fünf vier drei zwei eins"),
+        ("zéro un deux trois quatre cinq six sept huit neuf", "phone", "zéro un deux trois quatre cinq six sept huit neuf"),
+        ("联系电话零九零一二三四五六七八。", "phone", "零九零一二三四五六七八"), ("โทร ศูนย์แปดหนึ่งสองสามสี่ห้าหกเจ็ด ค่ะ", "phone", "ศูนย์แปดหนึ่งสองสามสี่ห้าหกเจ็ด"),
+        ("Patient Sarah Connor was admitted.", "name", "Sarah Connor"), ("Lê Văn Tám nhập viện hôm qua.", "name", "Lê Văn Tám"),
+        ("电话 13812345678", "phone", "13812345678"), ("SSN 123-45-6789 on file", "id_number", "123-45-6789"),
+        ("12 Nguyễn Huệ, quận 1, TP. Hồ Chí Minh", "address", "12 Nguyễn Huệ, quận 1, TP. Hồ Chí Minh"),
+    ],
+)
+def test_items_of_other_texts(text, kind, item):
+    assert [(k, text[b:e]) for k, b, e in find(text)] == [(kind, item)]
+
+
+def test_places_after_what_is_uncovered():
+    text = "ca 1: a@b.vn; không chín không ba một hai ba bốn năm sáu, sau đó c [at] d.vn và 0905 123 456."
+    assert [text[b:e] for _, b, e in find(text)] == ["a@b.vn", "không chín không ba một hai ba bốn năm sáu", "c [at] d.vn", "0905 123 456"]
