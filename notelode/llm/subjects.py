@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 from notelode.llm.sentences import fit, split_shown
 from notelode.session import cut, spread
 
-RANK, TURNS, ROUNDS = 160, 3, 3
+#: Leading vectors; most turns of the power iteration and rounds of refining, each of which ends once it stands still.
+RANK, TURNS, ROUNDS = 128, 3, 3
+#: Part of a basis or of centroids that two in a row must share to be one.
+STILL = 0.98
+#: Results that a task sums up.
+FAN_IN = 16
 #: Labelled documents used for the seeds.
 LABELLED = 50_000
 #: Weight of a term is ln(1 + x / e^BEND), x being texts over texts with it: small for common terms, never 0.
@@ -141,7 +146,7 @@ Arrays = dict[str, np.ndarray]
 
 
 def _summed(df: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Arrays]) -> Arrays:
-    """Sum of what each of about n tasks makes, in two steps, so that no more than one result reaches the driver."""
+    """Sum of what each of about n tasks makes, FAN_IN at a time, so that no more than one result reaches the driver."""
 
     def pack(made: Arrays) -> pa.RecordBatch:
         import pickle
@@ -170,8 +175,9 @@ def _summed(df: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Arr
             yield pack(made)
 
     parts = df.mapInArrow(first, "at int, made binary")
-    if n > 16:
-        parts = parts.repartition(max(2, round(n**0.5)), "at").mapInArrow(more, "at int, made binary")
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n, "at").mapInArrow(more, "at int, made binary")
     one = parts.repartition(1).mapInArrow(more, "at int, made binary").collect()
     return total(bytes(r["made"]) for r in one)
 
@@ -346,14 +352,19 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     tasks = max(kept.rdd.getNumPartitions(), sc.defaultParallelism)
     rows = spread(kept)
 
-    # Leading right singular vectors of documents x terms, unit rows, by block power iteration.
-    def times(q: np.ndarray) -> np.ndarray:
+    # Leading right singular vectors of documents x terms, unit rows, by block power iteration. How heavy sentences are
+    # depends on the weights alone, so the first pass finds it out, too.
+    def times(q: np.ndarray, weigh: bool = False) -> Arrays:
         shared = sc.broadcast((q.astype(np.float32), weight))
 
         def run(batches):
             basis, w = shared.value
-            out = np.zeros(basis.shape, dtype=np.float64)
+            out, bins = np.zeros(basis.shape, dtype=np.float64), np.zeros(nl * _BINS, dtype=np.int64)
             for c in _chunks(batches):
+                if weigh:
+                    each = w[c.lang[c.owner], c.column].astype(np.float64)
+                    heavy = np.sqrt(np.bincount(c.owner, weights=each**2, minlength=len(c.lang)))
+                    bins += np.bincount(c.lang * _BINS + np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64), minlength=nl * _BINS)
                 doc, lang, column = c.distinct()
                 v = w[lang, column]
                 doc, row, column, v = doc[v > 0], (doc * nl + lang)[v > 0], column[v > 0], v[v > 0]
@@ -368,16 +379,23 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
                 order = np.argsort(column, kind="stable")
                 ends = _heads(column[order])
                 out[column[order][ends]] += np.add.reduceat((v[:, None] * y[number])[order], ends, axis=0)
-            return {"q": out.astype(np.float32)}
+            return {"q": out.astype(np.float32)} | ({"bins": bins} if weigh else {})
 
-        made = _summed(rows, tasks, run)["q"].astype(np.float64)
+        made = _summed(rows, tasks, run)
         shared.destroy()
-        return made
+        return made | {"q": made["q"].astype(np.float64)}
 
     q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(columns), min(RANK, len(columns)))))[0]
-    for _ in range(TURNS):
-        q = np.linalg.qr(times(q))[0]
-    small = q.T @ times(q)
+    for turn in range(TURNS):
+        made = times(q, weigh=turn == 0)
+        bins = made.get("bins", bins if turn else None)
+        before, q = q, np.linalg.qr(made["q"])[0]
+        # The part of the new subspace that lies in the one before.
+        if np.square(before.T @ q).sum() / q.shape[1] > STILL:
+            break
+    at = np.array([np.searchsorted(np.cumsum(b), 0.7 * b.sum()) for b in bins.reshape(nl, _BINS)]) * _STEP
+    heavy_enough = HEAVY * at
+    small = q.T @ times(q)["q"]
     values, turn = np.linalg.eigh((small + small.T) / 2)
     basis, scale = (q @ turn).astype(np.float32), (np.maximum(values, 1e-9) ** 0.25).astype(np.float32)
 
@@ -391,17 +409,6 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     typical = np.ones((nl, len(columns)), dtype=np.float32)
     shared = sc.broadcast((weight, 1.0, basis, scale))
 
-    def weigh(batches):
-        space, out = _Space(*shared.value), np.zeros(nl * _BINS, dtype=np.int64)
-        for c in _chunks(batches):
-            _, heavy, _ = space.place(c)
-            out += np.bincount(c.lang * _BINS + np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64), minlength=nl * _BINS)
-        return {"bins": out.reshape(nl, _BINS)}
-
-    bins = _summed(rows, tasks, weigh)["bins"]
-    at = np.array([np.searchsorted(np.cumsum(b), 0.7 * b.sum()) for b in bins]) * _STEP
-    heavy_enough = HEAVY * at
-
     def seed(batches):
         space, out = _Space(*shared.value), np.zeros((nl, na, len(scale)))
         for c in _chunks(batches):
@@ -423,7 +430,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     def state():
         return sc.broadcast(((weight, typical, basis, scale), centroids, heavy_enough))
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         now = state()
 
         def refine(batches, now=now):
@@ -447,12 +454,15 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         r = _summed(rows, tasks, refine)
         now.destroy()
         moved = np.linalg.norm(r["sum"], axis=-1, keepdims=True) > 0
-        centroids = np.where(moved, _unit(r["sum"]), centroids)
+        before, centroids = centroids, np.where(moved, _unit(r["sum"]), centroids)
         # A term of which most texts are about one area is typical; one that is everywhere alike is not. Few texts say
         # little: to them comes the largest area's part of its language's terms.
         usual = r["mine"].sum(2).max(1) / np.maximum(r["seen"].sum(1), 1)
         typical = np.clip(((r["mine"].max(1) + 1.5 * usual[:, None]) / (r["seen"] + 1.5) - 0.4) / 0.35, 0, 1).astype(np.float32)
 
+        if (before * centroids).sum(-1)[moved[..., 0]].min(initial=1.0) > STILL and turn:
+            break
+
     final = state()
 
     def found(batches):
