@@ -13,7 +13,7 @@ _OTHER = "ɡÐƉ", "gĐĐ"
 LOOK_ALIKES = dict(zip("".join(x[0] for x in (_CYRILLIC, _GREEK, _OTHER)), "".join(x[1] for x in (_CYRILLIC, _GREEK, _OTHER)), strict=True))
 
 # Joiners and hyphens that show nothing, beside the general category of format characters.
-_MORE_INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u180b\u180c\u180d\u180f"
+SHOW_NOTHING = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u180b\u180c\u180d\u180f"
 
 
 @cache
@@ -21,7 +21,7 @@ def invisible() -> str:
     """Format characters and variation selectors."""
     found = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf"]
     selectors = [*map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))]
-    return "".join(sorted({*found, *selectors, *_MORE_INVISIBLE}))
+    return "".join(sorted({*found, *selectors, *SHOW_NOTHING}))
 
 
 @cache

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelode.llm import bpe, canonical, frequency, packing, personal, sentences, subjects, visual
+from notelode.llm import bpe, canonical, forms, frequency, packing, personal, sentences, subjects, visual
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,6 +27,11 @@ def p2_form(spark, d):
     return visual.with_form(_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p2_classes(spark, d):
+    """Documents that look like others of another text: their class, and how many they are linked to."""
+    return visual.look_alike_classes(_table(spark, d, "documents"), "doc_id", "text")
+
+
 DRUG, DIAGNOSIS = "THUỐC", "CHẨN_ĐOÁN"
 
 
@@ -143,8 +150,46 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+def _shapes() -> str:
+    """VALUES of characters and what a reader sees, from the Unicode data, apart from the operator's tables."""
+    rows = {"\t": " ", "\u2010": "-", "\u2011": "-"}
+    for c in map(chr, range(0x80, 0x110000)):
+        kind, mark = unicodedata.category(c), unicodedata.decomposition(c).split(" ")[0]
+        plain = unicodedata.normalize("NFKC", c)
+        if kind == "Cf" or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef" or c in forms.SHOW_NOTHING:
+            rows[c] = ""
+        elif kind == "Zs":
+            rows[c] = " "
+        elif "\ufb00" <= c <= "\ufb06":
+            rows[c] = plain
+        elif len(plain) == 1 and (mark in ("<wide>", "<narrow>", "<isolated>", "<final>", "<initial>", "<medial>") or mark == "<compat>" and "\u2e80" <= c <= "\u2fdf"):
+            rows[c] = plain
+        else:
+            base, *marks = unicodedata.normalize("NFD", c)
+            seen = unicodedata.normalize("NFC", forms.LOOK_ALIKES.get(base, base) + "".join(marks))
+            if base in forms.LOOK_ALIKES and len(seen) == 1:
+                rows[c] = seen
+    text = lambda x: "'" + rows.get(x, x).replace("'", "''") + "'"
+    return ", ".join(f"(chr({ord(c)}), {text(x)})" for c, x in rows.items())
+
+
+def _forms_sql() -> str:
+    """doc_id, text, form: character by character through a join."""
+    form = "nfc_normalize(replace(replace(coalesce(s, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
+    for ring, tail, am, tones in ((0xE4D, 0xE32, 0xE33, range(0xE48, 0xE4C)), (0xECD, 0xEB2, 0xEB3, range(0xEC8, 0xECC))):
+        for tone in ("''", *(f"chr({t})" for t in tones)):
+            form = f"replace({form}, chr({ring}) || {tone} || chr({tail}), {tone} || chr({am}))"
+    return f"""WITH m(c, x) AS (VALUES {_shapes()}), t AS (SELECT doc_id, string_split(text, '') AS cs FROM documents),
+u AS (SELECT doc_id, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM t),
+j AS (SELECT doc_id, string_agg(coalesce(x, c), '' ORDER BY i) AS s FROM u LEFT JOIN m USING (c) GROUP BY doc_id),
+f AS (SELECT d.doc_id, text, CASE WHEN text IS NOT NULL THEN {form} END AS form FROM documents d LEFT JOIN j USING (doc_id)),
+g AS (SELECT * FROM f WHERE regexp_matches(form, '[^ \\t\\n]'))
+"""
+
+
 def oracle() -> dict[str, str]:
-    forms = f"SELECT doc_id, text, {visual.form_sql('text')} AS form FROM documents"
-    pairs = f"""WITH f AS ({forms}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b
-        ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.form, ' ' || chr(9) || chr(10)) <> ''"""
-    return _SQL | {"p2_form": f"SELECT doc_id, form FROM ({forms})", "p2_found": pairs}
+    made = _forms_sql()
+    pairs = "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+    classes = """SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS links,
+count(*) OVER (PARTITION BY form, text) AS copies FROM g QUALIFY links > 0"""
+    return _SQL | {"p2_form": made + "SELECT doc_id, form FROM f", "p2_found": made + pairs, "p2_classes": made + classes}

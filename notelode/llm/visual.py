@@ -44,12 +44,13 @@ def _duck(sql: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
-        for b in batches:
-            con.register("rows", pa.Table.from_batches([b]))
-            made = con.execute(sql).to_arrow_table()
-            con.unregister("rows")
-            yield from made.to_batches()
+        # One batch needs no room on disk, so none of a worker's folders is written to.
+        with duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""}) as con:
+            for b in batches:
+                con.register("rows", pa.Table.from_batches([b]))
+                made = con.sql(sql).to_arrow_table()
+                con.unregister("rows")
+                yield from made.to_batches()
 
     return run
 
@@ -66,9 +67,9 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, form and text as SHA-256 digests, for rows whose text isn't blank; texts never leave their task."""
     kind = dict(df.dtypes)[key]
     src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    sql = f"""SELECT k, sha256(form) AS form, sha256(t) AS same FROM (SELECT k, t, {form_sql("t")} AS form FROM rows)
+    sql = f"""SELECT k, unhex(sha256(form)) AS form, unhex(sha256(t)) AS same FROM (SELECT k, t, {form_sql("t")} AS form FROM rows)
         WHERE trim(form, ' ' || chr(9) || chr(10)) <> ''"""
-    return src.mapInArrow(_duck(sql), f"k {kind}, form string, same string")
+    return src.mapInArrow(_duck(sql), f"k {kind}, form binary, same binary")
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -85,3 +86,16 @@ def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     one = pairs.join(rows.select("form", F.col("same").alias("same_a"), F.col("k").alias("ka")), ["form", "same_a"])
     two = one.join(rows.select("form", F.col("same").alias("same_b"), F.col("k").alias("kb")), ["form", "same_b"])
     return two.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, class (smallest key of it), links (documents that look the same with another text), copies (with this text).
+
+    One row for every document whose form has more than one text. Texts are counted before forms, so a form that a third
+    of all rows have is a few rows to each task.
+    """
+    marks = cut(fingerprints(df, key, text))
+    texts = marks.groupBy("form", "same").agg(F.count(F.lit(1)).alias("copies"), F.min("k").alias("first"))
+    forms = texts.groupBy("form").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("all"), F.min("first").alias("class")).filter("texts > 1")
+    known = texts.join(forms, "form").select("form", "same", "class", (F.col("all") - F.col("copies")).alias("links"), "copies")
+    return marks.join(known, ["form", "same"]).select(F.col("k").alias(key), "class", "links", "copies")
