@@ -5,8 +5,9 @@ The new words of a batch are laid end to end as byte tokens; an inverted index f
 the places of such pairs is opened in rank order, and a merge only touches the two neighbours of its place. A word's
 tokens go to a pool; a text is then gathered from the pool by array arithmetic.
 
-Each task replays the words of its own rows: nothing is shuffled, and the vocabulary of the corpus is never in one
-place. Null and empty texts have the empty list.
+token_ids replays the words of each task's own rows: nothing is shuffled, and the vocabulary of the corpus is never in
+one place. corpus_token_ids replays every different word of the corpus once, words dealt by hash, and joins the ids back,
+which costs a shuffle of all words. Null and empty texts have the empty list.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.session import spread
+from notelode.session import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the tokenizer parts a text into words; white space is Unicode's property, which is narrower than \s.
@@ -30,6 +31,8 @@ PATTERN = (
 )
 #: Distinct words held per task; the pool starts over when full, which changes no result.
 WORDS = 400_000
+#: Parts of the places of one word in a join.
+SALTS = 8
 #: Rows encoded at a time.
 ROWS = 512
 
@@ -199,3 +202,41 @@ def token_ids(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) ->
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """key, n_tokens: how many tokens each text has."""
     return _mapped(df, key, text, tokenizer, False).withColumnRenamed("v", "n_tokens")
+
+
+def corpus_token_ids(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The same as token_ids, each different word of the corpus replayed once."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_ranks(tokenizer))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(PATTERN).findall
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                words = [find(t) if t else [] for t in part.column(1).to_pylist()]
+                sizes = np.array([len(w) for w in words], dtype=np.int64)
+                ends = np.cumsum(sizes)
+                at = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+                rows = part.column(0).take(pa.array(np.repeat(np.arange(len(words)), sizes)))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(at.astype(np.int32)), pa.array([w for ws in words for w in ws], pa.string())], ["row", "at", "word"])
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary.value)
+        for b in batches:
+            tokens, sizes = encoder.replay(b.column(0).to_pylist())
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))], ["word", "ids"])
+
+    # Keys may come twice, so rows have numbers of their own, which stay the same because they are written.
+    src = cut(spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).withColumn("row", F.monotonically_increasing_id()))
+    words = src.select("row", "t").mapInArrow(parted, "row bigint, at int, word string")
+    # Words that a third of all places have meet in one task of the join unless copies are dealt out, too.
+    salt = F.pmod(F.col("row"), F.lit(SALTS)).cast("int")
+    known = words.select("word").distinct().mapInArrow(replayed, "word string, ids array<int>")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = words.withColumn("salt", salt).join(known, ["word", "salt"])
+    lists = met.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    none = F.array().cast("array<int>")
+    return src.select("k", "row").join(lists, "row", "left").select(F.col("k").alias(key), F.coalesce("ids", none).alias("ids"))

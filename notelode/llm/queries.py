@@ -89,6 +89,11 @@ def p7_ids(spark, d):
     return bpe.token_ids(_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_corpus(spark, d):
+    """The same ids, every different word of the corpus replayed once."""
+    return bpe.corpus_token_ids(_table(spark, d, "documents"), "doc_id", "text")
+
+
 def _packs(spark, d) -> list[tuple[str, int]]:
     """The few container sizes."""
     return [(r["pack_name"], r["capacity_tokens"]) for r in _table(spark, d, "pack_sizes").orderBy("pack_name").collect()]

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from notelode.llm.bpe import TOKENIZER, Encoder, read_ranks, token_counts, token_ids
+from notelode.llm.bpe import TOKENIZER, Encoder, corpus_token_ids, read_ranks, token_counts, token_ids
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary file here")
 PUBLIC = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,3 +50,11 @@ def test_table(spark, public):
     assert got == [(1, []), (2, []), (3, public("đau ngực")), (3, public("đau ngực"))]
     assert sorted(r["n_tokens"] for r in token_counts(df, "k", "t").collect())[:2] == [0, 0]
     assert token_ids(df.limit(0), "k", "t").count() == 0
+
+
+def test_corpus_at_once(spark):
+    rows = [(1, "sốt cao sốt cao"), (1, "sốt cao"), (2, None), (3, ""), (None, " a  b\n\n"), (4, "ho " * 3000)]
+    df = spark.createDataFrame(rows, "doc int, note string")
+    got = sorted(((r["doc"] or 0, r["ids"]) for r in corpus_token_ids(df, "doc", "note").collect()))
+    assert got == sorted(((r["doc"] or 0, r["ids"]) for r in token_ids(df, "doc", "note").collect()))
+    assert corpus_token_ids(df.limit(0), "doc", "note").count() == 0
