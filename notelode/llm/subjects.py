@@ -20,13 +20,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelode.llm.sentences import fit, split_shown
+from notelode.llm.sentences import Openings, fit, split_shown
 from notelode.session import cut, spread
 
 #: Leading vectors; most turns of the power iteration and rounds of refining, each of which ends once it stands still.
@@ -311,21 +312,87 @@ def _about(n: int, areas: int, doc: np.ndarray, best: np.ndarray) -> np.ndarray:
     return np.bincount(doc * areas + best, minlength=n * areas).reshape(n, areas) >= SENTENCES
 
 
-def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """key, subject: one row per document and area. labels: the key and subject of documents labelled by hand."""
-    spark = documents.sparkSession
-    kind = dict(documents.dtypes)[key]
-    empty = spark.createDataFrame([], f"{key} {kind}, subject string")
-    names = sorted(set(subjects))
-    if not names:
-        return empty
+_SHAPE = "h binary, copies bigint, langs array<int>, terms array<array<{}>>"
+
+
+@dataclass(frozen=True)
+class Model:
+    """What is learned from a corpus: how sentences open, terms with their weights and places, and the areas' centroids."""
+
+    names: list[str]
+    openings: Openings
+    columns: np.ndarray
+    weight: np.ndarray
+    typical: np.ndarray
+    basis: np.ndarray
+    scale: np.ndarray
+    centroids: np.ndarray
+    heavy: np.ndarray
+
+
+def _analyse(documents: DataFrame, key: str, text: str, openings: Openings | None) -> tuple[DataFrame, DataFrame, Openings]:
+    """Keys with their texts' digests; the sentences' languages and terms of every different text; how sentences open."""
     src = spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t")))
     digest = F.unhex(F.md5("t")).alias("h")
     texts = src.filter("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("copies")).select(digest, "t", "copies")
-    shape = "h binary, copies bigint, langs array<int>, terms array<array<{}>>"
-    openings = spark.sparkContext.broadcast(fit(src, "t"))
-    read = cut(texts.mapInArrow(_analysed(openings), shape.format("bigint")))
-    keys = src.filter("t IS NOT NULL").select("k", digest)
+    openings = fit(src, "t") if openings is None else openings
+    shared = documents.sparkSession.sparkContext.broadcast(openings)
+    read = cut(texts.mapInArrow(_analysed(shared), _SHAPE.format("bigint")))
+    return src.filter("t IS NOT NULL").select("k", digest), read, openings
+
+
+def _encode(read: DataFrame, columns: np.ndarray) -> DataFrame:
+    shared = read.sparkSession.sparkContext.broadcast(columns)
+    kept = cut(spread(read).mapInArrow(_encoder(shared), _SHAPE.format("int")))
+    shared.destroy()
+    return kept
+
+
+def _areas(keys: DataFrame, key: str, rows: DataFrame, model: Model) -> DataFrame:
+    parts = (model.weight, model.typical, model.basis, model.scale), model.centroids, model.heavy
+    shared = keys.sparkSession.sparkContext.broadcast(parts)
+    names = model.names
+
+    def found(batches):
+        parts, centre, e = shared.value
+        space = _Space(*parts)
+        for c in _chunks(batches):
+            doc, _, _, best = _assigned(space, centre, e, c)
+            i, a = np.nonzero(_about(c.n, len(names), doc, best))
+            subject = pa.array([names[x] for x in a], pa.string())
+            yield pa.RecordBatch.from_arrays([c.batch.column("h").take(pa.array(i)), subject], ["h", "subject"])
+
+    return keys.join(rows.mapInArrow(found, "h binary, subject string"), "h").select(F.col("k").alias(key), "subject")
+
+
+def _empty(documents: DataFrame, key: str) -> DataFrame:
+    return documents.sparkSession.createDataFrame([], f"{key} {dict(documents.dtypes)[key]}, subject string")
+
+
+def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> DataFrame:
+    """key, subject: one row per document and area. labels: the key and subject of documents labelled by hand."""
+    keys, read, openings = _analyse(documents, key, text, None)
+    model, rows = _fit(keys, read, openings, key, labels, sorted(set(subjects)))
+    return _areas(keys, key, rows, model) if model else _empty(documents, key)
+
+
+def fit_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame, subjects: list[str]) -> Model | None:
+    """The model of a corpus, for documents that come later; None if nothing can be learned."""
+    keys, read, openings = _analyse(documents, key, text, None)
+    return _fit(keys, read, openings, key, labels, sorted(set(subjects)))[0]
+
+
+def assign(documents: DataFrame, key: str, text: str, model: Model) -> DataFrame:
+    """key, subject of any documents by a model: one pass over their texts, nothing is learned from them."""
+    keys, read, _ = _analyse(documents, key, text, model.openings)
+    return _areas(keys, key, spread(_encode(read, model.columns)), model)
+
+
+def _fit(keys: DataFrame, read: DataFrame, openings: Openings, key: str, labels: DataFrame, names: list[str]) -> tuple[Model | None, DataFrame]:
+    """The model, and the different texts with their terms as columns."""
+    spark = read.sparkSession
+    if not names:
+        return None, read
     nl, na = len(LANGUAGES), len(names)
 
     # Texts by language and term; terms that are frequent enough in some language are carried on, as columns.
@@ -342,13 +409,11 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     lang, term, has = (table.column(x).to_numpy() for x in ("lang", "term", "texts"))
     columns, at = np.unique(term, return_inverse=True)
     if not len(columns):
-        return empty
+        return None, read
     weight = np.zeros((nl, len(columns)), dtype=np.float32)
     weight[lang, at] = np.log1p((total[lang, 0] + 1) / (has + 1) * np.exp(-BEND))
     sc = spark.sparkContext
-    shared_columns = sc.broadcast(columns)
-    kept = cut(spread(read).mapInArrow(_encoder(shared_columns), shape.format("int")))
-    shared_columns.destroy()
+    kept = _encode(read, columns)
     tasks = max(kept.rdd.getNumPartitions(), sc.defaultParallelism)
     rows = spread(kept)
 
@@ -424,7 +489,7 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
     made = _summed(rows.join(F.broadcast(known), "h"), tasks, seed)
     shared.destroy()
     if "sum" not in made or not made["sum"].any():
-        return empty
+        return None, read
     centroids = _unit(made["sum"])
 
     def state():
@@ -463,15 +528,4 @@ def assign_subjects(documents: DataFrame, key: str, text: str, labels: DataFrame
         if (before * centroids).sum(-1)[moved[..., 0]].min(initial=1.0) > STILL and turn:
             break
 
-    final = state()
-
-    def found(batches):
-        parts, centre, e = final.value
-        space = _Space(*parts)
-        for c in _chunks(batches):
-            doc, _, _, best = _assigned(space, centre, e, c)
-            i, a = np.nonzero(_about(c.n, na, doc, best))
-            subject = pa.array([names[x] for x in a], pa.string())
-            yield pa.RecordBatch.from_arrays([c.batch.column("h").take(pa.array(i)), subject], ["h", "subject"])
-
-    return keys.join(rows.mapInArrow(found, "h binary, subject string"), "h").select(F.col("k").alias(key), "subject")
+    return Model(names, openings, columns, weight, typical, basis, scale, centroids, heavy_enough), rows

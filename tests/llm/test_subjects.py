@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from notelode.llm import subjects
-from notelode.llm.subjects import assign_subjects, language, terms
+from notelode.llm.subjects import assign, assign_subjects, fit_subjects, language, terms
 
 DATA = "/root/testdata/sf0.1"
 
@@ -93,3 +93,15 @@ def test_terms_have_numbers_of_their_own(spark):
     df = spark.createDataFrame([(c, [1] * len(x), [terms(t) for t in x]) for x, c in rows], "copies bigint, langs array<int>, terms array<array<bigint>>")
     got = df.mapInArrow(subjects._counted, "lang int, term bigint, texts bigint, documents bigint").groupBy("lang", "term").sum("texts", "documents").collect()
     assert {r[1]: [r[2], r[3]] for r in got} == dict(want) and {r[0] for r in got} == {1}
+
+
+def test_fit_and_assign_apart(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "RANK", 4)
+    docs, labels = _small(spark)
+    model = fit_subjects(docs, "d", "t", labels, ["heart", "belly", "kidney"])
+    want = sorted(map(tuple, assign_subjects(docs, "d", "t", labels, ["heart", "belly", "kidney"]).collect()))
+    assert want and sorted(map(tuple, assign(docs, "d", "t", model).collect())) == want
+    new = spark.createDataFrame([(1, "Tim đập nhanh nhịp lệch. Mạch vành hẹp dần."), (2, "Hẹn khám lại. Đã dặn dò."), (3, None)], "d long, t string")
+    assert [tuple(r) for r in assign(new, "d", "t", model).collect()] == [(1, "heart")]
+    assert assign(new.limit(0), "d", "t", model).count() == 0
+    assert fit_subjects(docs, "d", "t", labels.limit(0), ["heart"]) is None
