@@ -36,6 +36,7 @@ class Patterns:
     negation: str
     family: str
     historical: str
+    longest: int  # of the cues
     sections: str
 
 
@@ -98,5 +99,6 @@ def build(lexicon: Lexicon) -> Patterns:
         negation=_cues(lexicon.negation),
         family=_cues(lexicon.family),
         historical=_cues(lexicon.historical),
+        longest=max(map(len, (*lexicon.negation, *lexicon.family, *lexicon.historical)), default=0),
         sections=_listed(without_subsumed(lexicon.sections)),
     )

@@ -59,23 +59,21 @@ def line_concepts(row: Column, p: Patterns, lexicon: Lexicon) -> Column:
     def made(v: Column) -> Column:
         low, m = v["low"], v["m"]
 
+        def cued(x: Column, name: str, cues: str) -> Column:
+            return assertions.has_cue(low, x["s"], v[name], cues, p.longest)
+
+        def asserted(x: Column, historical: Column) -> Column:
+            return assertions.listed(cued(x, "neg", p.negation), cued(x, "fam", p.family), historical)
+
         def coded(kind: str, terms: dict[str, tuple[str, ...]]):
-            return lambda x: let(
-                assertions.before(low, x["s"]),
-                lambda head: _concept(
-                    line, start, x["s"], x["e"], kind, scan.codes(terms, x["groups"][0]),
-                    assertions.assertions(head, assertions.is_historical(head, hist, p), p),
-                ),
-            )
+            return lambda x: _concept(
+                line, start, x["s"], x["e"], kind, scan.codes(terms, x["groups"][0]), asserted(x, hist | cued(x, "past", p.historical))
+            )
 
         def symptom(x: Column) -> Column:
-            return let(
-                assertions.before(low, x["s"]),
-                lambda head: _concept(
-                    line, start, x["s"], x["e"], SYMPTOM, none,
-                    assertions.assertions(head, assertions.is_near_history(head), p),
-                ),
-            )
+            # No more than what is near can matter.
+            near = F.substring(low, F.greatest(x["s"] - assertions.NEAR + 1, F.lit(1)), F.least(x["s"], F.lit(assertions.NEAR)))
+            return _concept(line, start, x["s"], x["e"], SYMPTOM, none, asserted(x, assertions.is_near_history(near)))
 
         def pair(x: Column) -> Column:
             ends = x["ends"]
@@ -93,7 +91,9 @@ def line_concepts(row: Column, p: Patterns, lexicon: Lexicon) -> Column:
 
     def any_made(m: Column) -> Column:
         n = F.size(m["drugs"]) + F.size(m["diagnoses"]) + F.size(m["labs"]) + F.size(m["symptoms"])
-        full = let(F.struct(F.lower(line).alias("low"), m.alias("m")), made)
+        low = F.lower(line)
+        ends = {"neg": p.negation, "fam": p.family, "past": p.historical}
+        full = let(F.struct(low.alias("low"), m.alias("m"), *(assertions.cue_end(low, cues).alias(n) for n, cues in ends.items())), made)
         return F.when(n > 0, full).otherwise(F.array().cast(f"array<{CONCEPT}>"))
 
     return let(line_spans(line, p), any_made)

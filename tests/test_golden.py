@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 import time
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from notelode import concepts_json, extract_concepts
 from notelode.lexicon import DEFAULT, Lexicon
+from notelode.operators import assertions
 from notelode.patterns import build
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -80,6 +82,19 @@ def test_cost_grows_with_the_lines(spark):
     assert seconds(50_000) < 20 * seconds(5_000) + 2
 
 
+def test_cues_of_a_line_at_once(spark):
+    """has_cue says what a search of everything before the place says."""
+    rng = random.Random(4)
+    pieces = ["không", "không có", "mẹ", "chưa", "a", " ", ",", "tiền sử", "đã từng", "sốt", "\n", "1", "con", "con trai", "́"]
+    rows = [("".join(rng.choice(pieces) for _ in range(rng.randrange(12))), i) for i in range(400)]
+    rows = [(t, i, rng.randrange(len(t) + 1)) for t, i in rows]
+    p, low, at = build(DEFAULT), F.col("t"), F.col("at")
+    for cues in (p.negation, p.family, p.historical):
+        fast = assertions.has_cue(low, at, assertions.cue_end(low, cues), cues, p.longest)
+        df = spark.createDataFrame(rows, "t string, i int, at int")
+        assert df.filter(~fast.eqNullSafe(assertions.before(low, at).rlike(cues))).count() == 0
+
+
 def test_empty_lists(spark):
     rows = spark.createDataFrame([("không sốt, Na: 140, aspirin",)], "text string")
     own = Lexicon(drugs={}, diagnoses={}, symptoms=("sốt",), labs=(), negation=(), family=(), historical=(), sections=())
