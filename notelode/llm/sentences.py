@@ -264,7 +264,9 @@ def blocks(s: str) -> Iterator[tuple[int, int, bool]]:
             marked = (_ITEM.match(line) or _is_heading(line)) and not runs_on
             own = marked or _is_heading(before) and not _NUMBERED.match(before) or item and _is_heading(before)
             # Items and lines of a form aren't wrapped.
-            form = word[:1].isupper() and re.match(r"[ \t]*[^\s:][^:.!?]{1,24}:[ \t]?\S|[ \t]*[A-Z]\w+(?: [A-Z]\w+){1,3} - ", before)
+            # Where lines are wrapped anyhow, one that goes on in small letters is no label.
+            label = "[A-Z]" if broken else r"[^\s:]"
+            form = word[:1].isupper() and re.match(rf"[ \t]*{label}[^:.!?]{{1,24}}:[ \t]?\S|[ \t]*[A-Z]\w+(?: [A-Z]\w+){{1,3}} - ", before)
             if own or item or not ended and (form or not wrapped):
                 yield start, lines[k - 1][0] + len(before), item
                 start = None
