@@ -34,8 +34,8 @@ from notelode.session import cut, spread
 RANK, TURNS, ROUNDS = 128, 3, 3
 #: Part of a basis or of centroids that two in a row must share to be one.
 STILL = 0.98
-#: Results that a task sums up.
-FAN_IN = 16
+#: Tasks of a pass that sums up, for each task slot; bytes of the pieces in which sums are shuffled and reach the driver.
+TASKS, PIECE = 4, 1 << 18
 #: Labelled documents used for the seeds.
 LABELLED = 50_000
 #: Weight of a term is ln(1 + x / e^BEND), x being texts over texts with it: small for common terms, never 0.
@@ -46,8 +46,8 @@ LEAST, FEW, LEAST_PART = 3, 0.15, 0.0005
 COSINE, HEAVY, SHARE = 0.4, 0.25, 0.03
 #: Sentences that make an area.
 SENTENCES = 2
-#: Documents worked on at a time in a task.
-CHUNK = 64
+#: Documents worked on at a time in a task; sentences placed by one product of matrices.
+CHUNK, BLOCK = 256, 48
 
 LANGUAGES = ("vi", "en", "de", "fr", "zh", "ja", "th")
 # Small words that tell languages apart, bare.
@@ -127,75 +127,79 @@ def _sentences(b: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:
     if b.num_rows:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            sentences, langs, sizes, numbers = [], [], [], []
+            sentences, langs, sizes, numbers, spoken = [], [], [], [], []
             for t in part.column(1).to_pylist():
                 parts = split_shown(t, known) if t else []
                 own = [language(shown, t[x:y]) for x, y, shown in parts]
                 # A sentence that doesn't tell is in the language of most others that are written in Latin letters.
                 votes = np.bincount([x for x in own if 0 <= x < 4] or [0], minlength=4)
-                langs += [x if x >= 0 else int(votes.argmax()) for x in own]
+                own = [x if x >= 0 else int(votes.argmax()) for x in own]
+                langs += own
                 sentences.append(len(parts))
-                for _, _, shown in parts:
+                having = set()
+                for k, (_, _, shown) in zip(own, parts):
                     found = terms(shown)
                     sizes.append(len(found))
                     numbers += found
+                    if found:
+                        having.add(k)
+                spoken.append(sorted(having))
             made = _nested(sentences, _nested(sizes, pa.array(numbers, pa.int64())))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _nested(sentences, pa.array(langs, pa.int32())), made], ["h", "copies", "langs", "terms"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(spoken, pa.list_(pa.int32())), _nested(sentences, pa.array(langs, pa.int32())), made], ["h", "copies", "spoken", "langs", "terms"]
+            )
 
 
 Arrays = dict[str, np.ndarray]
 
 
-def _summed(df: DataFrame, n: int, run: Callable[[Iterator[pa.RecordBatch]], Arrays]) -> Arrays:
-    """Sum of what each of about n tasks makes, FAN_IN at a time, so that no more than one result reaches the driver."""
+def _summed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Arrays]) -> Arrays:
+    """Sum of what each task makes, in pieces: a task sums up some of them, and no message to the driver holds more than one.
 
-    def pack(made: Arrays) -> pa.RecordBatch:
-        import pickle
+    There are at most TASKS results for each slot, however large the table, so what is shuffled doesn't grow with it.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    names, shape = ["name", "at", "shape", "type", "made"], "name string, at bigint, shape string, type string, made binary"
 
-        from pyspark import TaskContext
-
-        # The same for every attempt of a task, so that one that is run again sends its part the same way.
-        at = TaskContext.get().partitionId()
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["at", "made"])
-
-    def total(packed: Iterator[bytes]) -> Arrays:
-        import pickle
-
-        out: Arrays = {}
-        for x in packed:
-            for name, a in pickle.loads(x).items():
-                a = a.astype(np.int64) if a.dtype == np.int32 else a
-                out[name] = out[name] + a if name in out else a
-        return out
+    def packed(name: str, at: int, whole: str, a: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, at, whole, a.dtype.str, a.tobytes())], names)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pack(run(batches))
+        for name, a in run(batches).items():
+            flat = a.reshape(-1)
+            for at in range(0, len(flat), PIECE // 8):
+                yield packed(name, at, " ".join(map(str, a.shape)), flat[at : at + PIECE // 8])
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if made := total(x for b in batches for x in b.column(1).to_pylist()):
-            yield pack(made)
+        out: dict[tuple[str, int, str], np.ndarray] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                a = np.frombuffer(r["made"], dtype=r["type"])
+                a = a.astype(np.int64) if a.dtype == np.int32 else a
+                key = r["name"], r["at"], r["shape"]
+                out[key] = out[key] + a if key in out else a
+        for key, a in out.items():
+            yield packed(*key, a)
 
-    parts = df.mapInArrow(first, "at int, made binary")
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        parts = parts.repartition(n, "at").mapInArrow(more, "at int, made binary")
-    one = parts.repartition(1).mapInArrow(more, "at int, made binary").collect()
-    return total(bytes(r["made"]) for r in one)
+    parts = df.coalesce(TASKS * slots).mapInArrow(first, shape)
+    made: Arrays = {}
+    for r in parts.repartition(slots, "name", "at").mapInArrow(more, shape).collect():
+        a = np.frombuffer(r["made"], dtype=r["type"])
+        if r["name"] not in made:
+            made[r["name"]] = np.zeros([int(x) for x in r["shape"].split()], dtype=a.dtype)
+        made[r["name"]].reshape(-1)[r["at"] : r["at"] + len(a)] = a
+    return made
 
 
 class _Chunk:
     """Some documents: flat arrays of their sentences' documents and languages, and of their terms' sentences and columns."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, sentences: np.ndarray, lang: np.ndarray, sizes: np.ndarray, column: np.ndarray):
         self.batch, self.n = batch, batch.num_rows
-        langs, terms_ = batch.column("langs"), batch.column("terms")
-        counts = np.diff(langs.offsets.to_numpy())
-        self.doc = np.repeat(np.arange(self.n), counts)
-        self.lang = langs.flatten().to_numpy().astype(np.int64)
-        each = terms_.flatten()
-        self.owner = np.repeat(np.arange(len(each)), np.diff(each.offsets.to_numpy()))
-        self.copies = batch.column("copies").to_numpy()
-        self.column = each.flatten().to_numpy().astype(np.int64)
+        self.doc, self.lang = np.repeat(np.arange(self.n), sentences), lang
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.copies, self.column = batch.column("copies").to_numpy(), column
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, language, column) of each distinct one, in that order."""
@@ -207,10 +211,43 @@ class _Chunk:
         return row // len(LANGUAGES), row % len(LANGUAGES), column[on]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, CHUNK):
-            yield _Chunk(b.slice(i, CHUNK))
+            yield b.slice(i, CHUNK)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    """Documents with the numbers of their terms."""
+    for b in _slices(batches):
+        langs, terms_ = b.column("langs"), b.column("terms")
+        each = terms_.flatten()
+        yield _Chunk(b, np.diff(langs.offsets.to_numpy()), langs.flatten().to_numpy().astype(np.int64), np.diff(each.offsets.to_numpy()), each.flatten().to_numpy())
+
+
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, memoryview]:
+    """Lengths of binary values, and all of them in a row."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(offsets), memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    """Documents with the columns of their terms, as _encoder packs them."""
+    for b in _slices(batches):
+        sentences, langs = _bytes(b.column("langs"))
+        sizes = np.frombuffer(_bytes(b.column("sizes"))[1], dtype=np.int32)
+        columns = _bytes(b.column("columns"))[1]
+        wide = len(columns) > 2 * sizes.sum()
+        yield _Chunk(b, sentences, np.frombuffer(langs, dtype=np.int8).astype(np.int64), sizes, np.frombuffer(columns, dtype=np.int32 if wide else np.uint16).astype(np.int64))
+
+
+def _ranks(column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns in order, and which of them each one is."""
+    there, rank = np.zeros(width, dtype=bool), np.empty(width, dtype=np.int64)
+    there[column] = True
+    found = np.flatnonzero(there)
+    rank[found] = np.arange(len(found))
+    return found, rank[column]
 
 
 def _heads(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -238,7 +275,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     waiting = 0
-    for c in _chunks(batches):
+    for c in _read(batches):
         doc, lang, term = c.distinct()
         if len(doc):
             made.append((lang, term, c.copies[doc]))
@@ -250,20 +287,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Terms to their columns, those without one left out; shared has the sorted terms."""
+    """Terms to their columns, those without one left out; shared has the sorted terms.
+
+    Languages and numbers of terms of a text's sentences and the columns are packed, each into one value, so that the
+    passes that follow take them up as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for b in batches:
+        kind = np.uint16 if len(known) <= 1 << 16 else np.int32
+
+        def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * values.itemsize
+            return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+        for b in _slices(batches):
             outer = b.column("terms")
             inner = outer.flatten()
             term = inner.flatten().to_numpy()
             column = np.minimum(np.searchsorted(known, term), len(known) - 1)
             on = known[column] == term
-            owner = np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))
-            made = _nested(np.bincount(owner[on], minlength=len(inner)), pa.array(column[on].astype(np.int32)))
-            made = _nested(np.diff(outer.offsets.to_numpy()), made)
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("copies"), b.column("langs"), made], b.schema.names)
+            sentences = np.diff(outer.offsets.to_numpy())
+            sizes = np.bincount(np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))[on], minlength=len(inner))
+            each = np.bincount(np.repeat(np.arange(len(outer)), sentences), weights=sizes, minlength=len(outer)).astype(np.int64)
+            langs = b.column("langs").flatten().to_numpy().astype(np.int8)
+            made = [packed(langs, sentences), packed(sizes.astype(np.int32), sentences), packed(column[on].astype(kind), each)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("copies"), *made], ["h", "copies", "langs", "sizes", "columns"])
 
     return run
 
@@ -277,13 +326,17 @@ class _Space:
     def place(self, c: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every sentence of a chunk: unit vector, weight, share in the subspace."""
         w = self.weight[c.lang[c.owner], c.column]
-        on = w > 0
-        owner, column, w = c.owner[on], c.column[on], w[on]
         out = np.zeros((len(c.lang), self.basis.shape[1]), dtype=np.float32)
-        if len(w):
-            heads = _heads(owner)
-            out[owner[heads]] = np.add.reduceat(w[:, None] * self.basis[column], heads, axis=0)
-        heavy = np.sqrt(np.bincount(owner, weights=w.astype(np.float64) ** 2, minlength=len(c.lang)))
+        # Sentences that stand together share many terms: the block of their terms is small enough to be a full matrix.
+        for i in range(0, len(out), BLOCK):
+            j = min(i + BLOCK, len(out))
+            a, b = c.start[i], c.start[j]
+            if a < b:
+                columns, at = _ranks(c.column[a:b], len(self.basis))
+                block = np.zeros((j - i, len(columns)), dtype=np.float32)
+                block[c.owner[a:b] - i, at] = w[a:b]
+                np.matmul(block, self.basis[columns], out=out[i:j])
+        heavy = np.sqrt(np.bincount(c.owner, weights=w.astype(np.float64) ** 2, minlength=len(c.lang)))
         share = np.linalg.norm(out, axis=1) / np.maximum(heavy, 1e-9)
         out *= self.scale
         out /= np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
@@ -312,7 +365,8 @@ def _about(n: int, areas: int, doc: np.ndarray, best: np.ndarray) -> np.ndarray:
     return np.bincount(doc * areas + best, minlength=n * areas).reshape(n, areas) >= SENTENCES
 
 
-_SHAPE = "h binary, copies bigint, langs array<int>, terms array<array<{}>>"
+_READ = "h binary, copies bigint, spoken array<int>, langs array<int>, terms array<array<bigint>>"
+_PACKED = "h binary, copies bigint, langs binary, sizes binary, columns binary"
 
 
 @dataclass(frozen=True)
@@ -337,13 +391,13 @@ def _analyse(documents: DataFrame, key: str, text: str, openings: Openings | Non
     texts = src.filter("t IS NOT NULL").groupBy("t").agg(F.count(F.lit(1)).alias("copies")).select(digest, "t", "copies")
     openings = fit(src, "t") if openings is None else openings
     shared = documents.sparkSession.sparkContext.broadcast(openings)
-    read = cut(texts.mapInArrow(_analysed(shared), _SHAPE.format("bigint")))
+    read = cut(texts.mapInArrow(_analysed(shared), _READ))
     return src.filter("t IS NOT NULL").select("k", digest), read, openings
 
 
 def _encode(read: DataFrame, columns: np.ndarray) -> DataFrame:
     shared = read.sparkSession.sparkContext.broadcast(columns)
-    kept = cut(spread(read).mapInArrow(_encoder(shared), _SHAPE.format("int")))
+    kept = cut(spread(read.select("h", "copies", "langs", "terms")).mapInArrow(_encoder(shared), _PACKED))
     shared.destroy()
     return kept
 
@@ -396,13 +450,12 @@ def _fit(keys: DataFrame, read: DataFrame, openings: Openings, key: str, labels:
     nl, na = len(LANGUAGES), len(names)
 
     # Texts by language and term; terms that are frequent enough in some language are carried on, as columns.
-    langs = F.expr("array_distinct(transform(filter(arrays_zip(langs, terms), x -> size(x.terms) > 0), x -> x.langs))")
     total, documents_ = np.zeros((nl, 1)), np.zeros((nl, 1))
-    for r in read.select(F.explode(langs).alias("lang"), "copies").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("m")).collect():
+    for r in read.select(F.explode("spoken").alias("lang"), "copies").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("m")).collect():
         total[r["lang"]], documents_[r["lang"]] = r["n"], r["m"]
     # Copies count for the lower limit alone: a text that comes often is not rare.
     least = np.maximum(np.clip(FEW * documents_, 1, LEAST), LEAST_PART * documents_)
-    counts = spread(read).mapInArrow(_counted, "lang int, term bigint, texts bigint, documents bigint")
+    counts = spread(read.select("copies", "langs", "terms")).mapInArrow(_counted, "lang int, term bigint, texts bigint, documents bigint")
     counts = counts.groupBy("lang", "term").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     limit = F.element_at(F.array(*(F.lit(float(x)) for x in least[:, 0])), F.col("lang") + 1)
     table = counts.filter(F.col("documents") >= limit).select("lang", "term", "texts").toArrow()
@@ -413,9 +466,7 @@ def _fit(keys: DataFrame, read: DataFrame, openings: Openings, key: str, labels:
     weight = np.zeros((nl, len(columns)), dtype=np.float32)
     weight[lang, at] = np.log1p((total[lang, 0] + 1) / (has + 1) * np.exp(-BEND))
     sc = spark.sparkContext
-    kept = _encode(read, columns)
-    tasks = max(kept.rdd.getNumPartitions(), sc.defaultParallelism)
-    rows = spread(kept)
+    rows = spread(_encode(read, columns))
 
     # Leading right singular vectors of documents x terms, unit rows, by block power iteration. How heavy sentences are
     # depends on the weights alone, so the first pass finds it out, too.
@@ -426,27 +477,25 @@ def _fit(keys: DataFrame, read: DataFrame, openings: Openings, key: str, labels:
             basis, w = shared.value
             out, bins = np.zeros(basis.shape, dtype=np.float64), np.zeros(nl * _BINS, dtype=np.int64)
             for c in _chunks(batches):
+                spoken = c.lang[c.owner]
+                each = w[spoken, c.column]
                 if weigh:
-                    each = w[c.lang[c.owner], c.column].astype(np.float64)
-                    heavy = np.sqrt(np.bincount(c.owner, weights=each**2, minlength=len(c.lang)))
+                    heavy = np.sqrt(np.bincount(c.owner, weights=each.astype(np.float64) ** 2, minlength=len(c.lang)))
                     bins += np.bincount(c.lang * _BINS + np.minimum(heavy / _STEP, _BINS - 1).astype(np.int64), minlength=nl * _BINS)
-                doc, lang, column = c.distinct()
-                v = w[lang, column]
-                doc, row, column, v = doc[v > 0], (doc * nl + lang)[v > 0], column[v > 0], v[v > 0]
-                if not len(v):
-                    continue
-                heads = _heads(row)
-                number = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(row)]))
-                v = v / np.sqrt(np.add.reduceat(v * v, heads))[number]
-                y = np.add.reduceat(v[:, None] * basis[column], heads, axis=0)
-                # Copies of a text weigh as their root: it has a place of its own, and doesn't drown the others.
-                y *= np.sqrt(c.copies[doc[heads]], dtype=np.float32)[:, None]
-                order = np.argsort(column, kind="stable")
-                ends = _heads(column[order])
-                out[column[order][ends]] += np.add.reduceat((v[:, None] * y[number])[order], ends, axis=0)
+                # Documents of a language share many terms, so they are a full matrix of those that occur; a term that comes again is put down once.
+                for k in np.unique(spoken):
+                    on = np.flatnonzero(spoken == k)
+                    docs, row = _ranks(c.doc[c.owner[on]], c.n)
+                    column, at = _ranks(c.column[on], len(basis))
+                    x = np.zeros((len(docs), len(column)), dtype=np.float32)
+                    x[row, at] = each[on]
+                    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+                    # Copies of a text weigh as their root: it has a place of its own, and doesn't drown the others.
+                    y = (x @ basis[column]) * np.sqrt(c.copies[docs], dtype=np.float32)[:, None]
+                    out[column] += x.T @ y
             return {"q": out.astype(np.float32)} | ({"bins": bins} if weigh else {})
 
-        made = _summed(rows, tasks, run)
+        made = _summed(rows, run)
         shared.destroy()
         return made | {"q": made["q"].astype(np.float64)}
 
@@ -479,14 +528,17 @@ def _fit(keys: DataFrame, read: DataFrame, openings: Openings, key: str, labels:
         for c in _chunks(batches):
             areas = c.batch.column("areas").to_pylist()
             v, heavy, share = space.place(c)
-            for n in np.flatnonzero((heavy > heavy_enough[c.lang]) & (share > SHARE)):
-                own = areas[c.doc[n]]
-                whole = sum(a["w"] for a in own)
+            part = np.zeros((c.n, na))
+            for i, own in enumerate(areas):
                 for a in own:
-                    out[c.lang[n], names.index(a["area"])] += v[n] * (a["w"] / whole)
+                    part[i, names.index(a["area"])] = a["w"] / sum(x["w"] for x in own)
+            on = np.flatnonzero((heavy > heavy_enough[c.lang]) & (share > SHARE))
+            for k in np.unique(c.lang[on]):
+                own = on[c.lang[on] == k]
+                out[k] += part[c.doc[own]].T @ v[own]
         return {"sum": out}
 
-    made = _summed(rows.join(F.broadcast(known), "h"), tasks, seed)
+    made = _summed(rows.join(F.broadcast(known), "h"), seed)
     shared.destroy()
     if "sum" not in made or not made["sum"].any():
         return None, read
@@ -506,17 +558,20 @@ def _fit(keys: DataFrame, read: DataFrame, openings: Openings, key: str, labels:
             seen, mine = np.zeros(nl * width, dtype=np.int32), np.zeros((na, nl * width), dtype=np.int32)
             for c in _chunks(batches):
                 doc, lang, v, best = _assigned(space, centre, e, c)
-                np.add.at(sums, (lang, best), v)
+                to = np.zeros((nl * na, len(v)), dtype=np.float32)
+                to[lang * na + best, np.arange(len(v))] = 1
+                sums += (to @ v).reshape(sums.shape)
                 about = _about(c.n, na, doc, best)
-                doc, lang, column = c.distinct()
-                place = lang * width + column
-                seen += np.bincount(place[about.any(1)[doc]], minlength=nl * width).astype(np.int32)
-                for a in np.flatnonzero(about.any(0)):
-                    mine[a] += np.bincount(place[about[doc, a]], minlength=nl * width).astype(np.int32)
+                on = np.flatnonzero(about.any(1)[c.doc[c.owner]])
+                found = np.unique((c.doc * nl + c.lang)[c.owner[on]] * width + c.column[on])
+                doc, place = found // (nl * width), found % (nl * width)
+                np.add.at(seen, place, 1)
+                i, a = np.nonzero(about[doc])
+                np.add.at(mine, (a, place[i]), 1)
             mine = mine.reshape(na, nl, width).transpose(1, 0, 2)
             return {"sum": sums, "seen": seen.reshape(nl, width), "mine": np.ascontiguousarray(mine)}
 
-        r = _summed(rows, tasks, refine)
+        r = _summed(rows, refine)
         now.destroy()
         moved = np.linalg.norm(r["sum"], axis=-1, keepdims=True) > 0
         before, centroids = centroids, np.where(moved, _unit(r["sum"]), centroids)

@@ -3,6 +3,8 @@
 import os
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from notelode.llm import subjects
@@ -105,3 +107,53 @@ def test_fit_and_assign_apart(spark, monkeypatch):
     assert [tuple(r) for r in assign(new, "d", "t", model).collect()] == [(1, "heart")]
     assert assign(new.limit(0), "d", "t", model).count() == 0
     assert fit_subjects(docs, "d", "t", labels.limit(0), ["heart"]) is None
+
+
+def test_sums_come_in_pieces(spark, monkeypatch):
+    """Sums of many partitions: few results are shuffled, and no row that the driver gets is larger than a piece."""
+    monkeypatch.setattr(subjects, "PIECE", 512, raising=False)
+    most = []
+    kind = type(spark.range(1))
+    collect = kind.collect
+
+    def spy(df):
+        rows = collect(df)
+        most.extend(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", spy)
+    slots = spark.sparkContext.defaultParallelism
+
+    def run(batches):
+        n = sum(x for b in batches for x in b.column(0).to_pylist())
+        return {"tasks": np.ones(1, dtype=np.int32), "sum": np.full((3, 100), n, dtype=np.float32), "big": np.full(2, 2**30, dtype=np.int32), "none": np.zeros((0, 2))}
+
+    made = subjects._summed(spark.range(0, 1000, 1, 20 * slots), run)
+    assert 0 < made["tasks"][0] <= 4 * slots and made["big"][0] == made["tasks"][0] * 2**30
+    assert made["sum"].shape == (3, 100) and (made["sum"] == 499500).all()
+    assert 0 < max(most) <= 512
+    docs, labels = _small(spark)
+    most.clear()
+    assert assign_subjects(docs, "d", "t", labels, ["heart", "belly", "kidney"]).count() == 110
+    assert 0 < max(most) <= 512
+
+
+def test_blocks_equal_plain_sums():
+    """Places by blocks are those of one sum for each sentence; columns beyond 65,535 are kept as they are."""
+    rng = np.random.default_rng(2)
+    for width in (300, 70_000):
+        docs = [[sorted(rng.choice(width, rng.integers(0, 20), replace=False).tolist()) for _ in range(rng.integers(0, 90))] for _ in range(40)]
+        langs = [[int(rng.integers(0, 7)) for _ in x] for x in docs]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([bytes([i]) for i in range(40)]), pa.array([1] * 40), pa.array(langs, pa.list_(pa.int32())), pa.array(docs, pa.list_(pa.list_(pa.int64())))], ["h", "copies", "langs", "terms"]
+        ).slice(3)
+        shared = type("Shared", (), {"value": np.arange(width)})
+        (c,) = subjects._chunks(subjects._encoder(shared)(iter([batch])))
+        each = [(d, k, x) for d, (ks, xs) in enumerate(zip(langs[3:], docs[3:])) for k, x in zip(ks, xs)]
+        assert c.doc.tolist() == [d for d, _, _ in each] and c.lang.tolist() == [k for _, k, _ in each] and c.column.tolist() == [t for _, _, x in each for t in x]
+        weight, basis = rng.random((7, width)).astype(np.float32), rng.standard_normal((width, 5)).astype(np.float32)
+        v, heavy, share = subjects._Space(weight, 1.0, basis, np.ones(5, dtype=np.float32)).place(c)
+        for i, (_, k, x) in enumerate(each):
+            y = weight[k, x] @ basis[x] if x else np.zeros(5)
+            assert np.allclose(v[i] * np.linalg.norm(y), y, atol=1e-4) and np.isclose(heavy[i], np.linalg.norm(weight[k, x]), atol=1e-4)
+            assert np.isclose(share[i], np.linalg.norm(y) / max(heavy[i], 1e-9), atol=1e-4)
