@@ -97,15 +97,35 @@ _WORD, _THAI, _HAN = re.compile("[a-z]{2,}"), re.compile("[฀-๿]{4,}"), re.co
 
 def terms(shown: str) -> list[int]:
     """Numbers of a sentence's terms: words and pairs of words, runs of four Thai or two Chinese or Japanese letters."""
-    s = shown.lower()
-    words = [_NUMBER[w] for w in _WORD.findall(s)]
-    out = set(words)
-    out.update([(a * 31 + b) & _MASK for a, b in zip(words, words[1:])])
-    for run in _THAI.findall(s):
-        out.update([_NUMBER[run[i : i + 4]] for i in range(len(run) - 3)])
-    for run in _HAN.findall(s):
-        out.update([_NUMBER[run[i : i + 2]] for i in range(len(run) - 1)])
-    return sorted(out)
+    return _numbered([shown])[1].tolist()
+
+
+def _numbered(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many terms each sentence has, and the numbers of those of all, each sentence's in order."""
+    words: list[str] = []
+    counts, runs, at = [], [], []
+    for i, shown in enumerate(sentences):
+        s = shown.lower()
+        found = _WORD.findall(s)
+        words += found
+        counts.append(len(found))
+        if not s.isascii():
+            for length, pattern in ((4, _THAI), (2, _HAN)):
+                for run in pattern.findall(s):
+                    runs += [_NUMBER[run[k : k + length]] for k in range(len(run) - length + 1)]
+            at += [i] * (len(runs) - len(at))
+    word = np.fromiter(map(_NUMBER.__getitem__, words), np.int64, len(words))
+    of = np.repeat(np.arange(len(sentences)), counts)
+    inside = of[1:] == of[:-1]
+    pairs = (word[:-1].astype(np.uint64) * np.uint64(31) + word[1:].astype(np.uint64)) & np.uint64(_MASK)
+    number = np.concatenate([word, pairs.astype(np.int64)[inside], np.array(runs, dtype=np.int64)])
+    of = np.concatenate([of, of[1:][inside], np.array(at, dtype=np.int64)])
+    if not len(number):
+        return np.zeros(len(sentences), dtype=np.int64), number
+    order = np.lexsort((number, of))
+    number, of = number[order], of[order]
+    on = _heads(of, number)
+    return np.bincount(of[on], minlength=len(sentences)), number[on]
 
 
 def _nested(counts: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -127,26 +147,24 @@ def _sentences(b: pa.RecordBatch, known) -> Iterator[pa.RecordBatch]:
     if b.num_rows:
         for i in range(0, b.num_rows, 1000):
             part = b.slice(i, 1000)
-            sentences, langs, sizes, numbers, spoken = [], [], [], [], []
+            sentences, langs, said = [], [], []
             for t in part.column(1).to_pylist():
                 parts = split_shown(t, known) if t else []
                 own = [language(shown, t[x:y]) for x, y, shown in parts]
                 # A sentence that doesn't tell is in the language of most others that are written in Latin letters.
                 votes = np.bincount([x for x in own if 0 <= x < 4] or [0], minlength=4)
-                own = [x if x >= 0 else int(votes.argmax()) for x in own]
-                langs += own
+                langs += [x if x >= 0 else int(votes.argmax()) for x in own]
                 sentences.append(len(parts))
-                having = set()
-                for k, (_, _, shown) in zip(own, parts):
-                    found = terms(shown)
-                    sizes.append(len(found))
-                    numbers += found
-                    if found:
-                        having.add(k)
-                spoken.append(sorted(having))
-            made = _nested(sentences, _nested(sizes, pa.array(numbers, pa.int64())))
+                said += [shown for _, _, shown in parts]
+            sizes, numbers = _numbered(said)
+            made = _nested(sentences, _nested(sizes, pa.array(numbers)))
+            # Languages of each text in which there are terms.
+            found = np.zeros((len(sentences), len(LANGUAGES)), dtype=bool)
+            on = sizes > 0
+            found[np.repeat(np.arange(len(sentences)), sentences)[on], np.array(langs, dtype=np.int64)[on]] = True
+            spoken = _nested(found.sum(1), pa.array(np.nonzero(found)[1].astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(spoken, pa.list_(pa.int32())), _nested(sentences, pa.array(langs, pa.int32())), made], ["h", "copies", "spoken", "langs", "terms"]
+                [part.column(0), part.column(2), spoken, _nested(sentences, pa.array(langs, pa.int32())), made], ["h", "copies", "spoken", "langs", "terms"]
             )
 
 

@@ -1,6 +1,7 @@
 """Subject areas: held-out accuracy on the labelled documents, and odd inputs."""
 
 import os
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from notelode.llm import subjects
+from notelode.llm.sentences import Openings
 from notelode.llm.subjects import assign, assign_subjects, fit_subjects, language, terms
 
 DATA = "/root/testdata/sf0.1"
@@ -157,3 +159,29 @@ def test_blocks_equal_plain_sums():
             y = weight[k, x] @ basis[x] if x else np.zeros(5)
             assert np.allclose(v[i] * np.linalg.norm(y), y, atol=1e-4) and np.isclose(heavy[i], np.linalg.norm(weight[k, x]), atol=1e-4)
             assert np.isclose(share[i], np.linalg.norm(y) / max(heavy[i], 1e-9), atol=1e-4)
+
+
+def test_terms_by_the_batch():
+    """Numbers of many sentences at a time are those of a plain reckoning for each; the languages with terms are listed."""
+    import hashlib
+
+    def number(x):
+        return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) & (2**63 - 1)
+
+    def plain(s):
+        s = s.lower()
+        words = [number(w) for w in re.findall("[a-z]{2,}", s)]
+        out = {*words, *((a * 31 + b) & (2**63 - 1) for a, b in zip(words, words[1:]))}
+        for n, pattern in ((4, "[฀-๿]{4,}"), (2, "[぀-鿿]{2,}")):
+            out |= {number(r[i : i + n]) for r in re.findall(pattern, s) for i in range(len(r) - n + 1)}
+        return sorted(out)
+
+    said = ["", "12 %", "Dau nguc trai", "dau dau dau", "睡眠尚可 than phien", "ผู้ป่วยมีไข้สูง", "x", "体温は37度", "THE heart the heart"]
+    for some in (said, said[:2], [], ["12"]):
+        sizes, numbers = subjects._numbered(some)
+        assert sizes.tolist() == [len(plain(s)) for s in some] and numbers.tolist() == [n for s in some for n in plain(s)]
+    texts = ["Dau nguc trai. The heart was seen.", None, "12 %", "睡眠尚可。"]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b", b"c", b"d"]), pa.array(texts), pa.array([1] * 4)], ["h", "t", "copies"])
+    (got,) = subjects._sentences(batch, Openings())
+    for langs, found, spoken in zip(*(got.column(x).to_pylist() for x in ("langs", "terms", "spoken"))):
+        assert spoken == sorted({k for k, x in zip(langs, found) if x})
